@@ -28,8 +28,8 @@ SELECT concat('A', CAST(o_custkey AS VARCHAR(20))) AS ASSETID,
        WHEN o_orderkey % 10 = 5 THEN 1980 + o_orderkey % 27
        ELSE 1890 + o_orderkey % 90 END AS CONSTRUCTIONYEAR,
   CASE WHEN o_orderkey % 97 = 0 THEN 1623 ELSE 1900 + o_orderkey % 119 END AS CADCONSTRUCTIONYEAR,
-  CAST(402800 + (o_custkey * 7919) % 3400 AS DOUBLE) / CAST(10000 AS DOUBLE) AS LATITUDE,
-  CAST((o_custkey * 104729) % 3900 - 39200 AS DOUBLE) / CAST(10000 AS DOUBLE) AS LONGITUDE,
+  CAST(402800 + ((o_custkey - o_custkey % 3) * 7919) % 3400 AS DOUBLE) / CAST(10000 AS DOUBLE) AS LATITUDE,
+  CAST(((o_custkey - o_custkey % 3) * 104729) % 3900 - 39200 AS DOUBLE) / CAST(10000 AS DOUBLE) AS LONGITUDE,
   o_orderkey % 2 AS HASTERRACE,
   CASE WHEN o_orderkey % 3 > 0 THEN 1 ELSE 0 END AS HASLIFT,
   CASE WHEN o_orderkey % 5 < 2 THEN 1 ELSE 0 END AS HASAIRCONDITIONING,
