@@ -33,7 +33,7 @@ TOP_K = 5                       # fixed value
 FEW_SUBJECTS = 64
 KM_PER_DEG = 111.19             # a little under the true 6371 km sphere's 111.195
 _SLACK = 1e-6                   # float error must not drop a true neighbour
-_BITS = 17                      # per axis; 51 bits of curve position fit a double exactly
+_BITS = 14                      # per axis; 42 bits of curve position fit a double exactly
 _MIN_LEVEL, _MAX_LEVEL = -12, 40
 POINT = ["property_type", "latitude", "longitude", "area_m2", "rooms"]
 S_POINT = [f"s_{c}" for c in POINT]
@@ -53,14 +53,6 @@ def _top(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def _spread(x: Column) -> Column:
-    """Put two zero bits between the low 17 bits of x."""
-    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F),
-                        (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-    return x
-
-
 def _axes(lat: Column, lon: Column, area: Column, lon_scale: float) -> list[Column]:
     """Position in score units per axis."""
     return [lat * F.lit(KM_PER_DEG), lon * F.lit(lon_scale), area / F.lit(geo.AREA_SCALE_M2)]
@@ -84,44 +76,44 @@ def _frame(pool: DataFrame, points: DataFrame) -> tuple[float, dict]:
     return scale, {c: row[c] or [0.0, 1.0] for c in ("latitude", "longitude", "area_m2")}
 
 
-def _curve(lat: Column, lon: Column, area: Column, scale: float, spans: dict, shift: float) -> Column:
-    """Position on a Z curve moved by ``shift`` of the range along every axis."""
+def _on_curve(df: DataFrame, prefix: str, scale: float, spans: dict, shift: float) -> DataFrame:
+    """Add ``value``: the position on a Z curve moved by ``shift`` of the range on each axis."""
     factor = {"latitude": KM_PER_DEG, "longitude": scale, "area_m2": 1 / geo.AREA_SCALE_M2}
     width = max(max((hi - lo) * factor[c] for c, (lo, hi) in spans.items()), 1e-9) * 1.5
     top = (1 << _BITS) - 1
-    z = None
-    for i, (axis, c) in enumerate(zip(_axes(lat, lon, area, scale), spans)):
+    axes = _axes(*[F.col(f"{prefix}{c}") for c in spans], scale)
+    cells = {}
+    for i, (axis, c) in enumerate(zip(axes, spans)):
         unit = (axis - F.lit(spans[c][0] * factor[c])) / F.lit(width) + F.lit(shift)
-        cell = F.least(F.greatest(F.floor(unit * F.lit(float(top))), F.lit(0)), F.lit(top)).cast("bigint")
-        part = F.shiftleft(_spread(cell), i)
-        z = part if z is None else z.bitwiseOR(part)
-    return z
+        cells[f"_z{i}"] = F.least(F.greatest(F.floor(unit * F.lit(float(top))), F.lit(0)), F.lit(top)).cast("bigint")
+    bits = [F.shiftleft(F.shiftright(F.col(f"_z{i}"), b).bitwiseAND(F.lit(1)), 3 * b + i)
+            for b in range(_BITS) for i in range(3)]
+    return (df.withColumns(cells).withColumn("value", reduce(Column.bitwiseOR, bits).cast("double"))
+            .drop(*cells))
 
 
 def _curve_candidates(points: DataFrame, pool: DataFrame, k: int, scale: float, spans: dict,
                       shift: float, small: bool) -> DataFrame:
     """(subject point, pool row) for the k+1 curve neighbours before and after each subject."""
-    def z(prefix):
-        return _curve(F.col(f"{prefix}latitude"), F.col(f"{prefix}longitude"), F.col(f"{prefix}area_m2"),
-                      scale, spans, shift).cast("double")
-
-    marks = (pool.select(F.col("property_type").alias("series"), z("").alias("value"),
-                         F.struct("asset_id", *POINT[1:]).alias("row"), F.lit(None).alias("s"))
-             .unionByName(points.select(F.col("s_property_type").alias("series"), z("s_").alias("value"),
-                                        F.lit(None).alias("row"), F.struct(*S_POINT).alias("s"))))
+    rows = _on_curve(pool, "", scale, spans, shift).select(
+        F.col("property_type").alias("series"), "value", F.struct("asset_id", *POINT[1:]).alias("row"))
+    asks = _on_curve(points, "s_", scale, spans, shift).select(
+        F.col("s_property_type").alias("series"), "value", F.struct(*S_POINT).alias("s"))
+    marks = rows.unionByName(asks, allowMissingColumns=True)
     if small:
         marks = marks.withColumn("bucket", F.lit(0))
     else:
         # edges from the pool side, so that every bucket holds its share of pool rows
-        edges = ranks.value_edges(marks.filter("row is not null").select("series", "value"))
+        edges = ranks.value_edges(rows.select("series", "value"))
         marks = ranks._with_bucket(marks, edges).withColumn("bucket", F.greatest("bucket", F.lit(1)))
     w = (Window.partitionBy("series", "bucket").orderBy("value", F.col("row.asset_id"))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = marks.withColumn("pos", F.count("row").over(w))
-    rows = placed.filter("row is not null").select("series", "bucket", "pos", "row.*")
-    asks = placed.filter("s is not null").select(
+    ranked = placed.filter("row is not null").select("series", "bucket", "pos", "row.*")
+    near = placed.filter("s is not null").select(
         "series", "bucket", F.explode(F.sequence(F.col("pos") - k, F.col("pos") + k + 1)).alias("pos"), "s.*")
-    return asks.join(rows, ["series", "bucket", "pos"]).drop("series", "bucket", "pos")
+    pairs = near.join(ranked, ["series", "bucket", "pos"])
+    return _scored(pairs).select(*S_POINT, F.struct("score", "asset_id").alias("c"))
 
 
 def _level(u: Column) -> Column:
@@ -164,9 +156,9 @@ def comparables(subjects: DataFrame, pool: DataFrame, k: int = TOP_K,
 
     near = reduce(DataFrame.unionByName, [
         _curve_candidates(points, lean, k, scale, spans, shift, small) for shift in (0.0, 1 / 3)])
-    per_row = near.select(*S_POINT, *[c for c in near.columns if c not in S_POINT]).distinct()
-    ranked = _top(_scored(per_row), S_POINT, k + 1)
-    bound = ranked.groupBy(*S_POINT).agg(F.max(F.when(F.col("rank") == k + 1, F.col("score"))).alias("u"))
+    # at most 4(k+1) candidates per point, the same row from both curves counted once
+    bound = near.groupBy(*S_POINT).agg(F.sort_array(F.collect_set("c")).alias("c")).select(
+        *S_POINT, F.get("c", F.lit(k))["score"].alias("u"))
     # fewer than k+1 rows on the curve: the type itself is that small, search everywhere
     far = float(2 ** _MAX_LEVEL)
     bounded = written(points.join(bound, S_POINT, "left").withColumn(

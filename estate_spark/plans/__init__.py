@@ -1,6 +1,6 @@
 """Named queries over the given tables; importing this package registers them all."""
 
-from estate_spark.plans import curation, exploration, neighbours, sampling  # noqa: F401
+from estate_spark.plans import curation, evaluation, exploration, neighbours, sampling  # noqa: F401
 from estate_spark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
