@@ -55,7 +55,7 @@ def char_problems(text: Column) -> Column:
 
 def word_problems(text: Column) -> Column:
     return F.array_compact(F.array(*[
-        F.when(text.rlike(rf"(?i)\b{w}\w*\b"), f"contains banned word '{w}'") for w in BANNED_WORDS]))
+        F.when(text.rlike(rf"(?iuU)\b{w}\w*\b"), f"contains banned word '{w}'") for w in BANNED_WORDS]))
 
 
 def missing_problems(text: Column, required: Column) -> Column:
@@ -71,6 +71,6 @@ def stray_problems(text: Column, facts: Column) -> Column:
 
 
 def validate_text(text: Column, facts: Column, required: Column) -> Column:
-    """All problems of a text, in a fixed order; empty when it passes."""
-    return F.concat(char_problems(text), word_problems(text),
-                    missing_problems(text, required), stray_problems(text, facts))
+    """All problems of a text, in a fixed order; empty when it passes, null without a text."""
+    return F.when(text.isNotNull(), F.concat(
+        char_problems(text), word_problems(text), missing_problems(text, required), stray_problems(text, facts)))
