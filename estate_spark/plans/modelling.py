@@ -66,17 +66,15 @@ def standardize(spark, sf):
     return x.select("asset_id", *[F.round(c, 6).alias(c) for c in NUM])
 
 
-_LEVELS = {"property_type": sorted(C.PROPERTY_TYPES), "condition": sorted(C.CONDITIONS),
-           "neighborhood_id": [f"Z{i:02d}" for i in range(25)]}
-
-
-@query("onehot_unknown", on_listings("SELECT asset_id, " + ", ".join(
-    [f"CASE WHEN {c} = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {c}__{v}" for c in CAT for v in _LEVELS[c]]
-    + [f"CASE WHEN {c} IS NULL OR {c} NOT IN ({', '.join(repr(v) for v in _LEVELS[c])}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {c}__unknown" for c in CAT])
-    + " FROM listings"))
+@query("onehot_unknown", on_split(" UNION ALL ".join(
+    f"SELECT asset_id, CASE WHEN {c} IN (SELECT {c} FROM train) THEN concat('{c}__', {c}) ELSE '{c}__unknown' END AS slot FROM listings"
+    for c in CAT), TRAIN))
 def onehot_unknown(spark, sf):
+    """The columns set to 1, by name: which columns exist depends on the train levels."""
     x = features.one_hot(curate.curated(spark, sf), small_prep(spark, sf))
-    return x.select("asset_id", *[c for c in x.columns if "__" in c])
+    slots = [c for c in x.columns if "__" in c]
+    return x.select("asset_id", F.explode(F.array(*[F.when(F.col(c) == 1.0, c) for c in slots])).alias("slot")).filter(
+        "slot is not null")
 
 
 _LOG = "(SELECT avg(ln(price)) AS m, stddev_pop(ln(price)) AS s FROM train) st"
@@ -257,3 +255,20 @@ def cache_or_compute(spark, sf):
     cache = written(linear_shap(spark, sf, train_rows(spark, sf)).withColumn("run_id", F.lit("linear")), "linear-cache")
     out = explain.cache_or_compute(rows, cache, lambda d: linear_shap(spark, sf, d), "linear")
     return out.select("asset_id", F.round("prediction", 6).alias("prediction"), "from_cache")
+
+
+_FEATS = C.feature_roles().usable
+
+
+@query("leakage_guard", on_listings(" UNION ALL ".join(
+    f"SELECT '{f}' AS feature, count({f}) AS non_null, false AS leaks FROM listings" for f in _FEATS)))
+def leakage_guard(spark, sf):
+    """Fails when a target or leakage column is among the inputs; also says how often each
+    input equals the target, which a renamed copy of it would always do."""
+    C.assert_no_leakage(_FEATS)
+    price = F.col(C.TARGET)
+    one = curate.curated(spark, sf).agg(F.count("*").alias("_n"), *[a for f in _FEATS for a in (
+        F.count(f).alias(f"n_{f}"), F.count_if(F.col(f).try_cast("double") == price).alias(f"e_{f}"))])
+    return one.select(F.explode(F.array(*[F.struct(
+        F.lit(f).alias("feature"), F.col(f"n_{f}").alias("non_null"), (F.col(f"e_{f}") == F.col("_n")).alias("leaks"))
+        for f in _FEATS])).alias("r")).select("r.*")
