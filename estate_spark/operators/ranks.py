@@ -5,13 +5,15 @@ for a group known to be small; beyond ``SMALL_ROWS`` the functions here cut the
 axis into equi-depth buckets: the edges are approximate percentiles (one bounded row,
 fixed before use), rows are first combined to distinct values, bucket totals give each
 bucket its offset, and only then are values ordered inside one bucket. Since the edges
-are equi-depth over all rows, no (group, bucket) holds more than about 1/256 of the
-rows however large a single group is. Results are exact on both paths.
+are equi-depth over all rows, no (group, bucket) holds more than about 1/1024 of the
+rows however large a single group is; a quantile orders only the buckets its ranks fall
+in. Results are exact on both paths.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SMALL_ROWS = 2_000_000
-_FAN = 16                       # 16 x 16 = 256 buckets, found by two short scans
+_FAN = 32                       # 32 x 32 = 1024 buckets, found by two short scans
 SERIES, VALUE, WEIGHT = "series", "value", "weight"
 
 
@@ -45,7 +47,7 @@ def long_format(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
 
 
 def value_edges(df: DataFrame) -> dict[str, list[float]]:
-    """Per series, the 255 equi-depth edges: as many doubles as series, at most."""
+    """Per series, its 1023 equi-depth edges: bounded by the number of columns."""
     qs = [i / (_FAN * _FAN) for i in range(1, _FAN * _FAN)]
     rows = (df.groupBy(SERIES)
             .agg(F.percentile_approx(VALUE, qs, 20 * _FAN * _FAN).alias("edges")).collect())
@@ -53,7 +55,7 @@ def value_edges(df: DataFrame) -> dict[str, list[float]]:
 
 
 def bucket_of(value: Column, edges: Column) -> Column:
-    """Number of edges <= value, by a coarse scan and a fine scan of 15 edges each."""
+    """Number of edges <= value, by a coarse scan and a fine scan of 31 edges each."""
     coarse = F.transform(F.sequence(F.lit(1), F.lit(_FAN - 1)),
                          lambda i: F.element_at(edges, i * _FAN))
     c = F.size(F.filter(coarse, lambda e: e <= value))
@@ -70,11 +72,15 @@ def _with_bucket(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
             .withColumn("bucket", bucket_of(F.col(VALUE), F.col("edges"))).drop("edges"))
 
 
-def running_counts(df: DataFrame, by: list[str], weights: list[str],
-                   small: bool) -> DataFrame:
+def running_counts(df: DataFrame, by: list[str], weights: list[str], small: bool,
+                   wanted: Callable[[Column], list[Column]] | None = None) -> DataFrame:
     """Per (series, by) in value order: one row per distinct value with, for each weight
     w, its sum ``w``, the sum over smaller values ``w_before`` and the group total
-    ``w_total``. ``df`` holds series, by..., value and the weights."""
+    ``w_total``. ``df`` holds series, by..., value and the weights.
+
+    ``wanted`` maps the total of the first weight to 0-based ranks; then only values in
+    the buckets holding those ranks need to come back.
+    """
     keys = [SERIES, *by]
     if small:
         vc = df.groupBy(*keys, VALUE).agg(*[F.sum(w).alias(w) for w in weights])
@@ -93,19 +99,26 @@ def running_counts(df: DataFrame, by: list[str], weights: list[str],
     offsets = totals.select(
         *keys, "bucket",
         *[(F.sum(f"_{w}").over(w_off) - F.col(f"_{w}")).alias(f"{w}_offset") for w in weights],
-        *[F.sum(f"_{w}").over(Window.partitionBy(*keys)).alias(f"{w}_total") for w in weights])
+        *[F.sum(f"_{w}").over(Window.partitionBy(*keys)).alias(f"{w}_total") for w in weights],
+        *[F.col(f"_{w}").alias(f"{w}_here") for w in weights])
+    if wanted is not None:
+        w0 = weights[0]
+        start, end = F.col(f"{w0}_offset"), F.col(f"{w0}_offset") + F.col(f"{w0}_here")
+        offsets = offsets.filter(reduce(Column.__or__, [
+            (start <= r) & (r < end) for r in wanted(F.col(f"{w0}_total"))]))
+    offsets = offsets.drop(*[f"{w}_here" for w in weights])
+    right = [*keys, "bucket"]
+    offsets = offsets.withColumnsRenamed({c: f"_right_{c}" for c in right})
+    # null-safe on the group keys: a null group is a group
+    on = reduce(Column.__and__, [
+        F.col(c).eqNullSafe(F.col(f"_right_{c}")) if c in by else F.col(c) == F.col(f"_right_{c}") for c in right])
+    joined = vc.join(offsets, on).drop(*[f"_right_{c}" for c in right])
     w_in = (Window.partitionBy(*keys, "bucket").orderBy(VALUE)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = vc.select("*", *[(F.sum(w).over(w_in) - F.col(w)).alias(f"_{w}_in") for w in weights])
-    # null-safe on the group keys: a null group is a group
-    cond = [inner[k].eqNullSafe(offsets[k]) for k in by]
-    on = (inner[SERIES] == offsets[SERIES]) & (inner["bucket"] == offsets["bucket"])
-    for c in cond:
-        on = on & c
-    return inner.join(offsets, on).select(
-        *[inner[k] for k in keys], inner[VALUE], *[inner[w] for w in weights],
-        *[(F.col(f"{w}_offset") + F.col(f"_{w}_in")).alias(f"{w}_before") for w in weights],
-        *[offsets[f"{w}_total"] for w in weights])
+    return joined.select(
+        *keys, VALUE, *weights,
+        *[(F.col(f"{w}_offset") + F.sum(w).over(w_in) - F.col(w)).alias(f"{w}_before") for w in weights],
+        *[F.col(f"{w}_total") for w in weights])
 
 
 def _label(q: float) -> str:
@@ -127,7 +140,13 @@ def quantile_rows(df: DataFrame, cols: list[str], qs: list[float], by: list[str]
         out = long.groupBy(*by, SERIES).agg(F.count(VALUE).alias("n"), arr.alias("_q"))
         return out.select(*by, SERIES, "n",
                           *[F.col("_q")[i].alias(_label(q)) for i, q in enumerate(qs)])
-    ranked = running_counts(long.withColumn(WEIGHT, F.lit(1)), by, [WEIGHT], small)
+
+    def wanted(total: Column) -> list[Column]:
+        pos = [(total - 1) * F.lit(float(q)) for q in qs]
+        return ([F.floor(p + 0.5) for p in pos] if method == "nearest"
+                else [f(p) for p in pos for f in (F.floor, F.ceil)])
+
+    ranked = running_counts(long.withColumn(WEIGHT, F.lit(1)), by, [WEIGHT], small, wanted)
     n, before = F.col(f"{WEIGHT}_total"), F.col(f"{WEIGHT}_before")
     after = before + F.col(WEIGHT)
 
@@ -171,7 +190,12 @@ def kth_smallest(df: DataFrame, col: str, k: Column, small: bool | None = None)
     """One row: n and the k-th smallest value of ``col`` (1-based; ``k`` may use ``n``)."""
     small = is_small(df) if small is None else small
     long = long_format(df, [col], []).withColumn(WEIGHT, F.lit(1))
-    ranked = running_counts(long, [], [WEIGHT], small)
+    if not small:
+        # the k-th value is the element of rank k-1 of a one-row count
+        row = long.agg(F.count("*").alias("n")).withColumn("k", k).first()
+        ranked = running_counts(long, [], [WEIGHT], False, lambda total: [F.lit(row["k"] - 1)])
+    else:
+        ranked = running_counts(long, [], [WEIGHT], True)
     ranked = ranked.withColumn("n", F.col(f"{WEIGHT}_total")).withColumn("k", k)
     before = F.col(f"{WEIGHT}_before")
     hit = (before < F.col("k")) & (F.col("k") <= before + F.col(WEIGHT))
@@ -189,7 +213,7 @@ def seeded_hash(key: Column | str, seed: int) -> Column:
 
 
 def hash_rank(df: DataFrame, key: str, seed: int, by: list[str] = (),
-              buckets_log2: int = 10) -> DataFrame:
+              buckets_log2: int = 14) -> DataFrame:
     """Add ``hash_rank`` (0-based, by (hash, key)) and ``class_rows`` per ``by`` group.
 
     The hash is uniform, so its leading bits cut any group into equal buckets; a group's
@@ -220,7 +244,3 @@ def round_half_up(col: Column, digits: int) -> Column:
     """floor(x * 10^d + 0.5) / 10^d: the same bits in every IEEE engine."""
     scale = F.lit(float(10 ** digits))
     return F.floor(col * scale + F.lit(0.5)).cast("double") / scale
-
-
-def finite(x: float) -> bool:
-    return not (math.isnan(x) or math.isinf(x))
