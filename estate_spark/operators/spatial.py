@@ -61,7 +61,7 @@ def pip_join(points: DataFrame, zones: DataFrame, lon: str = "longitude", lat: s
     keyed = points.withColumn("cell_x", _cell(px, cell)).withColumn("cell_y", _cell(py, cell))
     joined = keyed.join(zone_cells(zones, cell), ["cell_x", "cell_y"], "left")
     hits = F.filter("zones", lambda z: inside(px, py, z["edges"]))
-    return (joined.withColumn("_hit", F.when(F.size(hits) > 0, hits[0]))
+    return (joined.withColumn("_hit", F.get(hits, F.lit(0)))
             .withColumn("neighborhood_id", F.col("_hit.zone_id"))
             .withColumn("neighborhood_name", F.col("_hit.zone_name"))
             .drop("_hit", "zones", "cell_x", "cell_y"))

@@ -217,10 +217,10 @@ def psi_term(spark, sf):
         drift.psi_term(F.col("n_ref").cast("double") / F.col("r"), F.col("n_cur").cast("double") / F.col("c")), 6).alias("term"))
 
 
-@query("ecdf", on_split("SELECT feature, v AS value, round(fr, 6) AS cdf_ref, round(fc, 6) AS cdf_cur FROM ecdf", *DRIFT, *KS))
+@query("ecdf", on_split("SELECT feature, v AS value, fr AS cdf_ref, fc AS cdf_cur FROM ecdf", *DRIFT, *KS))
 def ecdf(spark, sf):
     e = drift.ecdf(reference_frame(spark, sf), current_frame(spark, sf), COLS)
-    return e.select(F.col("series").alias("feature"), "value", F.round("cdf_ref", 6).alias("cdf_ref"), F.round("cdf_cur", 6).alias("cdf_cur"))
+    return e.select(F.col("series").alias("feature"), "value", "cdf_ref", "cdf_cur")
 
 
 @query("ks_2samp", on_split("SELECT feature, round(d, 6) AS ks_statistic, round(p, 6) AS ks_p_value FROM ks", *DRIFT, *KS))
