@@ -244,11 +244,12 @@ _ROWS = """SELECT concat('V', CAST(vec_id AS VARCHAR(20))) AS row_id, label % 2
 
 
 @query("align_matrix", """SELECT concat('V', CAST(vec_id AS VARCHAR(20))) AS row_id, label % 2 AS tile_label, len(embedding) AS width,
-    embedding[1] AS first_value FROM embeddings""")
+    CAST(embedding[1] AS DOUBLE) AS first_value FROM embeddings""")
 def align_matrix(spark, sf):
     e = io.read_table(spark, sf, "embeddings")
     m = lookup.join_keeping_all(spark.sql(_ROWS, embeddings=e), spark.sql(_VECTORS, embeddings=e), "row_id")
-    return m.select("row_id", "tile_label", F.size("embedding").alias("width"), F.col("embedding")[0].alias("first_value"))
+    return m.select("row_id", "tile_label", F.size("embedding").cast("bigint").alias("width"),
+                    F.col("embedding")[0].cast("double").alias("first_value"))
 
 
 @query("available_only", """SELECT CASE WHEN vec_id % 5 = 0 THEN 'eval' ELSE 'train' END AS role,
