@@ -120,8 +120,9 @@ def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zones with edges; their order is the id order."""
-    return load_zones(src.raw_zones(spark, sf_dir)).withColumn("zone_order", F.col("LOCATIONID"))
+    """Zones with parsed edges, written once; their order is the id order."""
+    return once(spark, ("zones", sf_dir), lambda: written(
+        load_zones(src.raw_zones(spark, sf_dir)).withColumn("zone_order", F.col("LOCATIONID")), "zones"))
 
 
 def curated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from estate_spark import contract as C
 from estate_spark.functions.text import fixed
@@ -40,17 +41,17 @@ def psi_bins(reference: DataFrame, current: DataFrame, cols: list[str], bins: in
     Rows are counted per (feature, bin) map-side; only bin counts are shuffled.
     """
     qs = [i / bins for i in range(bins + 1)]
-    q = ranks.quantile_rows(reference, cols, qs, small=small)
-    edges = q.select("series", F.array_distinct(F.array(*[F.col(ranks._label(x)) for x in qs])).alias("edges"))
-    # one row of at most bins+1 edges per column: bounded by the contract, not by the data
-    inner = F.broadcast(edges.select(
-        "series", F.size("edges").alias("n_edges"),
-        F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0))).alias("inner")))
-    placed = _sides(reference, current, cols).join(inner, "series").withColumn(
+    # at most bins+1 edges per contract column, fixed before the rows are counted
+    edges = {r["series"]: sorted({r[ranks._label(x)] for x in qs})
+             for r in ranks.quantile_rows(reference, cols, qs, small=small).collect()}
+    spark = reference.sparkSession
+    table = spark.createDataFrame([(c, len(e), e[1:-1]) for c, e in edges.items()],
+                                  "series string, n_edges int, inner array<double>")
+    placed = _sides(reference, current, cols).join(F.broadcast(table), "series").withColumn(
         "bin", F.size(F.filter("inner", lambda e: e <= F.col("value"))))
     counts = placed.groupBy("series", "bin").agg(F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"))
-    grid = edges.select("series", F.size("edges").alias("n_edges"), F.explode(
-        F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))
+    grid = table.select("series", "n_edges", F.explode(
+        F.sequence(F.lit(0), F.greatest(F.col("n_edges") - 2, F.lit(0)))).alias("bin"))
     return grid.join(counts, ["series", "bin"], "left").fillna(0, ["n_ref", "n_cur"])
 
 
@@ -58,8 +59,9 @@ def psi(reference: DataFrame, current: DataFrame, cols: list[str], bins: int = P
         small: bool | None = None) -> DataFrame:
     """feature, psi: 0 with fewer than two distinct edges, NaN when a side is empty."""
     b = psi_bins(reference, current, cols, bins, small)
-    totals = b.groupBy("series").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
-    terms = b.join(totals, "series").withColumn("term", psi_term(
+    w = Window.partitionBy("series")        # as many rows as bins
+    terms = b.select("*", F.sum("n_ref").over(w).alias("t_ref"), F.sum("n_cur").over(w).alias("t_cur"))
+    terms = terms.withColumn("term", psi_term(
         F.try_divide(F.col("n_ref").cast("double"), F.col("t_ref")),
         F.try_divide(F.col("n_cur").cast("double"), F.col("t_cur"))))
     out = terms.groupBy("series").agg(F.sum("term").alias("s"), F.max("n_edges").alias("e"), F.max("t_ref").alias("r"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from estate_spark import contract as C
 from estate_spark.operators import evaluate, features, sampling
+from estate_spark.session import written
 
 SEED = 42
 # boosting rounds and depth are ours (Spark grows level-wise trees); the rest mirrors the
@@ -203,8 +204,8 @@ def fit_probe(train: DataFrame, label: str, vector: str, iterations: int = 100):
 def probe_oof(df: DataFrame, key: str, label: str, vector: str, folds: int = sampling.N_FOLDS) -> DataFrame:
     """key, label, role, score: out-of-fold scores of the train rows, full-fit scores of the
     eval rows. ``df`` has key, label, role and an array column."""
-    x = df.select(key, label, "role", array_to_vector(F.col(vector).cast("array<double>")).alias("_x"),
-                  sampling.fold_of(key, folds).alias("_fold")).persist()
+    x = written(df.select(key, label, "role", array_to_vector(F.col(vector).cast("array<double>")).alias("_x"),
+                          sampling.fold_of(key, folds).alias("_fold")), "probe")
     keep = [key, label, "role"]
     train = x.filter("role = 'train'")
     out = fit_probe(train, label, "_x")(x.filter("role = 'eval'"), keep)

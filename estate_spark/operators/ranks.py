@@ -230,9 +230,12 @@ def hash_rank(df: DataFrame, key: str, seed: int, by: list[str] = (),
         F.sum("_n").over(Window.partitionBy(*by)).alias("class_rows"))
     inner = h.withColumn("_r", F.row_number().over(
         Window.partitionBy(*by, "_b").orderBy("_h", key)))
-    return (inner.join(offsets, [*by, "_b"])
-            .withColumn("hash_rank", F.col("_off") + F.col("_r") - 1)
-            .drop("_h", "_b", "_r", "_off"))
+    offsets = offsets.withColumnsRenamed({c: f"_right_{c}" for c in [*by, "_b"]})
+    # null-safe on the class: rows without one form a class too
+    on = reduce(Column.__and__, [F.col("_b") == F.col("_right__b"),
+                                 *[F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in by]])
+    return (inner.join(offsets, on).withColumn("hash_rank", F.col("_off") + F.col("_r") - 1)
+            .drop("_h", "_b", "_r", "_off", "_right__b", *[f"_right_{c}" for c in by]))
 
 
 def ceil_share(n: Column, share: float) -> Column:

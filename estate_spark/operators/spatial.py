@@ -35,16 +35,35 @@ def _cell(col: Column, size: float) -> Column:
     return F.floor(col / F.lit(size)).cast("int")
 
 
+_EDGE_MARGIN = 1e-9     # a point may round into the cell next to its own
+
+
 def zone_cells(zones: DataFrame, cell: float = CELL_DEG) -> DataFrame:
-    """cell_x, cell_y -> the zones whose bounding box meets the cell, in zone order."""
+    """cell_x, cell_y -> the zones that meet the cell, in zone order.
+
+    A cell that no edge comes near lies wholly inside or outside a zone: outside, the pair
+    is dropped; inside, it is marked ``full`` and carries no edges, so that its points need
+    no ray cast.
+    """
     span = zones.select(
         F.struct(F.col("zone_order"), F.col("LOCATIONID").alias("zone_id"),
-                 F.col("LOCATIONNAME").alias("zone_name"), "edges").alias("zone"),
+                 F.col("LOCATIONNAME").alias("zone_name")).alias("zone"), "edges",
         F.explode(F.sequence(_cell(F.col("x_min"), cell), _cell(F.col("x_max"), cell))).alias("cell_x"),
         F.sequence(_cell(F.col("y_min"), cell), _cell(F.col("y_max"), cell)).alias("ys"))
-    cells = span.select("zone", "cell_x", F.explode("ys").alias("cell_y"))
-    return cells.groupBy("cell_x", "cell_y").agg(
-        F.array_sort(F.collect_list("zone")).alias("zones"))
+    cells = span.select("zone", "edges", "cell_x", F.explode("ys").alias("cell_y"))
+
+    def meets(e, axis, pos):
+        low = pos * F.lit(cell) - _EDGE_MARGIN
+        high = (pos + 1) * F.lit(cell) + _EDGE_MARGIN
+        a, b = e[f"{axis}1"], e[f"{axis}2"]
+        return (F.least(a, b) <= high) & (F.greatest(a, b) >= low)
+
+    near = F.exists("edges", lambda e: meets(e, "x", F.col("cell_x")) & meets(e, "y", F.col("cell_y")))
+    middle = [(F.col(c) + 0.5) * F.lit(cell) for c in ("cell_x", "cell_y")]
+    cells = cells.withColumn("near", near).withColumn("full", ~F.col("near") & inside(*middle, F.col("edges")))
+    return cells.filter("near or full").groupBy("cell_x", "cell_y").agg(
+        F.array_sort(F.collect_list(F.struct("zone", "full", F.when(F.col("near"), F.col("edges")).alias("edges"))))
+        .alias("zones"))
 
 
 def pip_join(points: DataFrame, zones: DataFrame, lon: str = "longitude", lat: str = "latitude",
@@ -60,8 +79,8 @@ def pip_join(points: DataFrame, zones: DataFrame, lon: str = "longitude", lat: s
     px, py = F.col(lon), F.col(lat)
     keyed = points.withColumn("cell_x", _cell(px, cell)).withColumn("cell_y", _cell(py, cell))
     joined = keyed.join(zone_cells(zones, cell), ["cell_x", "cell_y"], "left")
-    hits = F.filter("zones", lambda z: inside(px, py, z["edges"]))
+    hits = F.filter("zones", lambda z: z["full"] | inside(px, py, z["edges"]))
     return (joined.withColumn("_hit", F.get(hits, F.lit(0)))
-            .withColumn("neighborhood_id", F.col("_hit.zone_id"))
-            .withColumn("neighborhood_name", F.col("_hit.zone_name"))
+            .withColumn("neighborhood_id", F.col("_hit.zone.zone_id"))
+            .withColumn("neighborhood_name", F.col("_hit.zone.zone_name"))
             .drop("_hit", "zones", "cell_x", "cell_y"))
