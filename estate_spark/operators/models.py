@@ -71,10 +71,12 @@ def _bins(prep: features.Prep) -> int:
 
 
 def train_point(assembled: DataFrame, prep: features.Prep, **params):
-    """Boosted trees; rows of split ``val`` stop the boosting early."""
-    gbt = GBTRegressor(featuresCol=VECTOR, labelCol=C.TARGET, predictionCol="estimate", seed=SEED,
-                       validationIndicatorCol="is_val", maxBins=_bins(prep), **{**POINT_PARAMS, **params})
+    """Boosted trees; rows of split ``val`` stop the boosting early, where there are any."""
     rows = assembled.filter(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
+    gbt = GBTRegressor(featuresCol=VECTOR, labelCol=C.TARGET, predictionCol="estimate", seed=SEED,
+                       maxBins=_bins(prep), **{**POINT_PARAMS, **params})
+    if not rows.filter("is_val").isEmpty():
+        gbt.setValidationIndicatorCol("is_val")
     return gbt.fit(rows)
 
 
