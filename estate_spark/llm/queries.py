@@ -1,6 +1,8 @@
 """All queries of this subpackage."""
 
-from estate_spark.llm import q_chat, q_decontaminate, q_lm, q_quality, q_records, q_sharding  # noqa: F401
+from estate_spark.llm import (  # noqa: F401
+    q_chat, q_decontaminate, q_lm, q_neardup, q_quality, q_records, q_sharding, q_toxicity,
+)
 from estate_spark.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -89,3 +89,24 @@ def batches_of(texts: list[bytes], limit: int = 2 << 20):
         size += len(t)
     if a < len(texts):
         yield a, len(texts)
+
+
+def word_parts(texts: list[bytes], prefixes: tuple[int, ...], part: np.ndarray = NON_WORD):
+    """Per kind of part (whole words, then each prefix length in bytes): (hash, text number) of
+    every word that has it. Slices keep the memory beyond the result fixed."""
+    buffer = np.frombuffer(b"\n".join(texts) + b"\n" if texts else b"", np.uint8)
+    border = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    for a, b in _slices(buffer, part):
+        here = buffer[a:b]
+        inside = np.zeros(len(here) + 2, np.int8)
+        inside[1:-1] = ~part[here]
+        step = np.diff(inside)
+        starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        running = np.zeros(len(here) + 1, np.uint64)
+        np.cumsum(_CODE[here] * _powers(_POWER, len(here)), dtype=np.uint64, out=running[1:])
+        inverse = _powers(_INVERSE, len(here) + 1)[starts]
+        owner = np.searchsorted(border, starts + a, side="right")
+        yield mix((running[ends] - running[starts]) * inverse + (ends - starts).astype(np.uint64)), owner
+        for k in prefixes:
+            m = starts + k <= ends
+            yield mix((running[starts[m] + k] - running[starts[m]]) * inverse[m] + np.full(1, 1 << 40 | k, np.uint64)), owner[m]
