@@ -93,26 +93,31 @@ def _on_curve(df: DataFrame, prefix: str, scale: float, spans: dict, shift: floa
 
 
 def _curve_candidates(points: DataFrame, pool: DataFrame, k: int, scale: float, spans: dict,
-                      shift: float, small: bool) -> DataFrame:
+                      shift: float) -> DataFrame:
     """(subject point, pool row) for the k+1 curve neighbours before and after each subject."""
     rows = _on_curve(pool, "", scale, spans, shift).select(
         F.col("property_type").alias("series"), "value", F.struct("asset_id", *POINT[1:]).alias("row"))
     asks = _on_curve(points, "s_", scale, spans, shift).select(
         F.col("s_property_type").alias("series"), "value", F.struct(*S_POINT).alias("s"))
     marks = rows.unionByName(asks, allowMissingColumns=True)
-    if small:
-        marks = marks.withColumn("bucket", F.lit(0))
-    else:
-        # edges from the pool side, so that every bucket holds its share of pool rows
-        edges = ranks.value_edges(rows.select("series", "value"))
-        marks = ranks._with_bucket(marks, edges).withColumn("bucket", F.greatest("bucket", F.lit(1)))
+    # edges from the pool side, so that every bucket holds its share of pool rows; a bucket's
+    # offset makes ranks global per type, so neighbours are found across bucket borders
+    edges = ranks.value_edges(rows.select("series", "value"))
+    marks = ranks._with_bucket(marks, edges)
+    before = Window.partitionBy("series").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (marks.groupBy("series", "bucket").agg(F.count("row").alias("_n"))
+               .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
     w = (Window.partitionBy("series", "bucket").orderBy("value", F.col("row.asset_id"))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = marks.withColumn("pos", F.count("row").over(w))
-    ranked = placed.filter("row is not null").select("series", "bucket", "pos", "row.*")
-    near = placed.filter("s is not null").select(
-        "series", "bucket", F.explode(F.sequence(F.col("pos") - k, F.col("pos") + k + 1)).alias("pos"), "s.*")
-    pairs = near.join(ranked, ["series", "bucket", "pos"])
+    placed = (marks.withColumn("_in", F.count("row").over(w)).join(offsets, ["series", "bucket"])
+              .withColumn("pos", F.col("_off") + F.col("_in")))
+    total = rows.groupBy("series").agg(F.count("*").alias("_all"))
+    ranked = placed.filter("row is not null").select("series", "pos", "row.*")
+    # near an end of the curve the window moves inwards, so it always holds 2 (k + 1) rows or the type
+    first = F.greatest(F.least(F.col("pos") - k, F.col("_all") - 2 * k - 1), F.lit(1))
+    near = (placed.filter("s is not null").join(total, "series")
+            .select("series", F.explode(F.sequence(first, first + 2 * k + 1)).alias("pos"), "s.*"))
+    pairs = near.join(ranked, ["series", "pos"])
     return _scored(pairs).select(*S_POINT, F.struct("score", "asset_id").alias("c"))
 
 
@@ -128,7 +133,7 @@ def _gap(x: Column, cell: Column, size: Column) -> Column:
 
 
 def comparables(subjects: DataFrame, pool: DataFrame, k: int = TOP_K,
-                small: bool | None = None) -> DataFrame:
+                few: int = FEW_SUBJECTS) -> DataFrame:
     """subject_id, rank, and the comparable with its distances, score and sentence.
 
     ``subjects`` has subject_id, asset_id (null for one without an id: then nothing is
@@ -139,13 +144,16 @@ def comparables(subjects: DataFrame, pool: DataFrame, k: int = TOP_K,
     s = s.withColumn("s_rooms", F.col("s_rooms").cast("bigint"))
     extra = ["price", "bathrooms", "neighborhood_name"]
     not_self = F.col("s_asset_id").isNull() | (F.col("asset_id") != F.col("s_asset_id"))
-    if ranks.is_small(s, FEW_SUBJECTS):
+    if ranks.is_small(s, few):
         # a handful of subjects: one pass over the pool, its rank limit map-side
         hits = pool.select("asset_id", *POINT, *extra).join(
             F.broadcast(s), F.col("property_type") == F.col("s_property_type"))
-        return _shape(_top(_scored(hits.filter(not_self)), ["subject_id"], k))
+        # rows without a place, area or rooms have no score, here as in the search below
+        return _shape(_top(_scored(hits.filter(not_self)).filter("score is not null"), ["subject_id"], k))
 
-    small = ranks.is_small(pool) if small is None else small
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in POINT])
+    s = s.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in S_POINT]))
+    pool = pool.filter(whole)
     w = Window.partitionBy(*POINT).orderBy("asset_id")
     lean = (pool.select("asset_id", *POINT).withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") <= k + 1).drop("_rn"))
@@ -155,11 +163,11 @@ def comparables(subjects: DataFrame, pool: DataFrame, k: int = TOP_K,
     scale, spans = _frame(lean, points)
 
     near = reduce(DataFrame.unionByName, [
-        _curve_candidates(points, lean, k, scale, spans, shift, small) for shift in (0.0, 1 / 3)])
+        _curve_candidates(points, lean, k, scale, spans, shift) for shift in (0.0, 1 / 3)])
     # at most 4(k+1) candidates per point, the same row from both curves counted once
     bound = near.groupBy(*S_POINT).agg(F.sort_array(F.collect_set("c")).alias("c")).select(
         *S_POINT, F.get("c", F.lit(k))["score"].alias("u"))
-    # fewer than k+1 rows on the curve: the type itself is that small, search everywhere
+    # fewer than k+1 rows: the type itself is that small, search everywhere
     far = float(2 ** _MAX_LEVEL)
     bounded = written(points.join(bound, S_POINT, "left").withColumn(
         "u", F.coalesce(F.col("u") * (1 + _SLACK) + _SLACK, F.lit(far))).withColumn("level", _level(F.col("u"))),

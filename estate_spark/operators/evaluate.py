@@ -101,7 +101,7 @@ def roc_auc(df: DataFrame, label: str, score: str, small: bool | None = None) ->
     """Exact and tie-aware: a positive beats the negatives below and half of its ties."""
     c = _score_counts(df, label, score, small)
     wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)
-    return c.agg((F.sum(wins) / (F.max("pos_total").cast("double") * F.max("neg_total"))).alias("auc"))
+    return c.agg(F.try_divide(F.sum(wins), F.max("pos_total").cast("double") * F.max("neg_total")).alias("auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str, small: bool | None = None) -> DataFrame:
@@ -109,7 +109,7 @@ def average_precision(df: DataFrame, label: str, score: str, small: bool | None
     c = _score_counts(df, label, score, small)
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
-    return c.agg(F.sum(F.col("pos") / F.col("pos_total") * F.try_divide(tp, tp + fp)).alias("average_precision"))
+    return c.agg(F.sum(F.try_divide("pos", "pos_total") * F.try_divide(tp, tp + fp)).alias("average_precision"))
 
 
 def balanced_accuracy(df: DataFrame, label: str, score: str, cut: float = 0.5) -> DataFrame:

@@ -36,14 +36,18 @@ def guarded_join(left: DataFrame, right: DataFrame, on: str | list[str],
 
 
 def join_keeping_all(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join that fails at run time when a left row has no partner.
+    """Join in which every left row has exactly one partner; fails at run time otherwise.
 
-    The check rides on a left join, so no second pass over the data is needed.
+    The right side is counted per key; the check is a row filter, which neither column
+    pruning nor a bare count can remove.
     """
-    marked = right.withColumn("_hit", F.lit(True))
-    checked = F.when(F.col("_hit"), F.col(key)).otherwise(
-        F.raise_error(F.concat(F.lit(f"no partner for {key} "), F.col(key).cast("string"))))
-    return guarded_join(left, marked, key, "left").withColumn(key, checked).drop("_hit")
+    rest = [c for c in right.columns if c != key]
+    one = right.groupBy(key).agg(F.count("*").alias("_hits"), F.first(F.struct(F.lit(0), *rest)).alias("_right"))
+    guarded_join(left.select(*left.columns), right, key)          # refuses clashing columns
+    text = F.concat(F.when(F.col("_hits") > 1, F.concat(F.col("_hits").cast("string"), F.lit(" partners"))).otherwise("no partner"),
+                    F.lit(f" for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    checked = F.when(F.col("_hits") == 1, True).otherwise(F.raise_error(text).cast("boolean"))
+    return left.join(one, key, "left").filter(checked).select(*left.columns, *[F.col("_right")[c].alias(c) for c in rest])
 
 
 def append_run(df: DataFrame, path: str) -> None:

@@ -56,11 +56,9 @@ def assemble(df: DataFrame, prep: features.Prep) -> DataFrame:
     raw = df.withColumn("_row", F.struct(*df.columns))
     x = features.impute(raw, prep)
     out = [f"_{c}" for c in prep.categorical]
-    if prep.categorical:
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            [prep.levels[c] for c in prep.categorical], inputCols=list(prep.categorical),
-            outputCols=out, handleInvalid="keep")
-        x = indexer.transform(x)
+    for c in prep.categorical:        # one model a column: label lists differ in length
+        x = StringIndexerModel.from_labels(
+            prep.levels[c], inputCol=c, outputCol=f"_{c}", handleInvalid="keep").transform(x)
     names = [*prep.numeric, features.YEAR_MISSING, *out]
     x = VectorAssembler(inputCols=names, outputCol=VECTOR).transform(x)
     return x.select("_row.*", VECTOR)
@@ -128,7 +126,9 @@ def score(df: DataFrame, bundle: Bundle, keep: list[str] = ("asset_id",)) -> Dat
     the usable features. One narrow pass: no shuffle, no state."""
     raw = predict_raw(assemble(df, bundle.prep), bundle)
     band = evaluate.apply_band(raw, F.lit(bundle.calibration_q))
-    return band.select(*keep, "estimate", "low", "high",
+    # a sum carries no column metadata of the model, which files can't hold
+    estimate = (F.col("estimate") + F.lit(0.0)).alias("estimate")
+    return band.select(*keep, estimate, "low", "high",
                        F.lit(evaluate.NOMINAL_COVERAGE).alias("interval_coverage"),
                        F.lit(bundle.test_coverage).alias("interval_test_coverage"))
 

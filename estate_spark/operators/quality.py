@@ -22,7 +22,7 @@ def null_rates(df: DataFrame) -> DataFrame:
     one = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(c) for c in cols])
     return _as_rows(one, [F.struct(
         F.lit(c).alias("column_name"), (F.col("_n") - F.col(c)).alias("nulls"),
-        ((F.col("_n") - F.col(c)) / F.col("_n")).alias("null_rate")) for c in cols])
+        F.try_divide(F.col("_n") - F.col(c), F.col("_n")).alias("null_rate")) for c in cols])
 
 
 def value_profile(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -52,8 +52,8 @@ def check(df: DataFrame, row_bounds: tuple[int, int], year_null_max: float = 0.7
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in nulls],
         *[f(c).alias(f"{p}_{c}") for c in ranges for p, f in (("min", F.min), ("max", F.max))])
     keys_null = reduce(lambda x, y: x + y, [F.col(f"null_{c}") for c in C.KEY_COLUMNS])
-    year_rate = F.col("null_construction_year") / n
-    match_rate = (n - F.col("null_neighborhood_id")) / n
+    year_rate = F.try_divide(F.col("null_construction_year"), n)
+    match_rate = F.try_divide(n - F.col("null_neighborhood_id"), n)
     smallest = F.least("min_price", "min_area_m2", "min_unit_price_m2")
     fewest = F.least("min_rooms", "min_bathrooms")
     rules = [
@@ -73,7 +73,7 @@ def check(df: DataFrame, row_bounds: tuple[int, int], year_null_max: float = 0.7
         ("year_range", F.lit(None), (F.col("min_construction_year") >= C.YEAR_MIN)
          & (F.col("max_construction_year") <= C.YEAR_MAX)),
     ]
-    return _as_rows(one, [F.struct(F.lit(r).alias("rule"), o.cast("double").alias("observed"), ok.alias("ok"))
+    return _as_rows(one, [F.struct(F.lit(r).alias("rule"), o.cast("double").alias("observed"), F.coalesce(ok, F.lit(False)).alias("ok"))
                           for r, o, ok in rules])
 
 
@@ -88,14 +88,14 @@ def check_split(split: DataFrame, listings: DataFrame, test_share: float = 0.20,
     one = both.agg(
         F.count_if(F.col("splits") > 1).alias("overlap"),
         F.count_if(F.col("_a").isNull() | F.col("_b").isNull() | (F.col("copies") > 1)).alias("gaps"),
-        (F.count("is_test") / F.count("_a")).alias("share"))
+        F.try_divide(F.count("is_test"), F.count("_a")).alias("share"))
     return _as_rows(one, [
         F.struct(F.lit("splits_disjoint").alias("rule"), F.col("overlap").cast("double").alias("observed"),
                  (F.col("overlap") == 0).alias("ok")),
         F.struct(F.lit("splits_cover_all").alias("rule"), F.col("gaps").cast("double").alias("observed"),
                  (F.col("gaps") == 0).alias("ok")),
         F.struct(F.lit("test_share").alias("rule"), F.col("share").alias("observed"),
-                 (F.abs(F.col("share") - test_share) < tolerance).alias("ok"))])
+                 F.coalesce(F.abs(F.col("share") - test_share) < tolerance, F.lit(False)).alias("ok"))])
 
 
 def check_comps(comps: DataFrame, listings: DataFrame) -> DataFrame:

@@ -182,8 +182,15 @@ def medians(df: DataFrame, cols: list[str], by: list[str] = (),
         return df.groupBy(*by).agg(
             *[F.percentile(no_nan(F.col(c).cast("double")), 0.5).alias(c) for c in cols])
     rows = quantile_rows(df, cols, [0.5], by, small=False)
-    return rows.groupBy(*by).agg(
+    found = rows.groupBy(*by).agg(
         *[F.max(F.when(F.col(SERIES) == c, F.col("q0_5"))).alias(c) for c in cols])
+    if not by:
+        return found
+    # a group whose values are all null is a group, as is the null group
+    groups = df.select(*by).distinct()
+    found = found.withColumnsRenamed({c: f"_right_{c}" for c in by})
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in by])
+    return groups.join(found, on, "left").select(*by, *cols)
 
 
 def kth_smallest(df: DataFrame, col: str, k: Column, small: bool | None = None) -> DataFrame:

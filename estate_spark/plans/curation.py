@@ -232,13 +232,12 @@ def pip_join(spark, sf):
     UNION ALL SELECT 3, 'trimmed', count(*) FROM trimmed
     UNION ALL SELECT 4, 'zone_match', count(neighborhood_id) FROM listings) q"""))
 def funnel_counts(spark, sf):
-    # the stage counts need keys only, so every scan below is pruned to them
-    listings = curate.curated(spark, sf)
+    # every count is of the stage's own frame, so rows lost or doubled on the way show
+    valid = curate.valid(spark, sf)
     return curate.funnel({
-        "raw": io.read_table(spark, sf, "orders", ["o_orderkey"]),
-        "deduped": io.read_table(spark, sf, "orders", ["o_custkey"]).distinct(),
-        "valid": curate.valid(spark, sf), "trimmed": listings,
-    }, listings.filter("neighborhood_id is not null"))
+        "raw": curate.raw(spark, sf), "deduped": curate.deduped(spark, sf), "valid": valid,
+        "trimmed": curate.trim_outliers(valid),
+    }, curate.curated(spark, sf).filter("neighborhood_id is not null"))
 
 
 # ------------------------------------------------------------- row rules

@@ -131,7 +131,7 @@ def ablation(spark, sf):
     rows = curate.curated(spark, sf).drop("cnn_condition_score").join(
         tagged.filter("(split = 'train' and role = 'train') or (split = 'val' and role = 'eval')").withColumn(
             "stage", stage).drop("split", "role", "tile_id"), "asset_id")
-    return models.ablate(written(rows, "ablation"), "cnn_condition_score", maxIter=8)
+    return models.ablate(written(rows, "ablation"), "cnn_condition_score")
 
 
 @query("probe_oof")

@@ -10,7 +10,7 @@ from estate_spark.plans.registry import query
 from estate_spark.session import once, written
 from estate_spark.sources import io
 
-N_TRAIN, N_EVAL = 300, 60
+N_TRAIN, N_EVAL = tiles.TRAIN_TILES, tiles.EVAL_TILES
 
 
 def split(spark, sf):
@@ -92,7 +92,8 @@ def join_rowcount_guard(spark, sf):
     return lookup.join_keeping_all(curate.curated(spark, sf).select("asset_id", "condition"), split(spark, sf), "asset_id")
 
 
-@query("join_collision_guard")
+@query("join_collision_guard", on_split("""SELECT count(*) AS scored, count(*) AS n, true AS refused_collision
+    FROM assigned a JOIN manifest m ON m.tile_id = a.tile_id""", *MANIFEST))
 def join_collision_guard(spark, sf):
     """The placeholder must go before a score of the same name can be joined."""
     listings, scores = curate.curated(spark, sf), tile_scores(spark, sf)
