@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estate_spark.llm import store
+from estate_spark.llm import bitmap, store
 from estate_spark.llm import text as tx
 from estate_spark.llm.components import components
 from estate_spark.session import written
@@ -102,25 +102,37 @@ def _lower(column: pa.Array) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFrame:
-    """row, doc_id, set_id (digest), bands, grams (the set); the last three null without words."""
+    """row, doc_id, t (the text's hash), set_id (digest of the set) and bands, both null without words."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _lower(batch.column("text"))
             for a, b in tx.batches_of(texts):
                 hashes, borders = shingle_sets(texts[a:b], words)
                 sig = iter(band_hashes(hashes, borders, bands, rows))
-                ids, signs, grams = [], [], []
+                ids, signs = [], []
                 for i, j in zip(borders[:-1].tolist(), borders[1:].tolist()):
-                    data = hashes[i:j].tobytes() if j > i else None
-                    ids.append(hashlib.md5(data).digest() if data else None)
-                    signs.append(next(sig).tobytes() if data else None)
-                    grams.append(data)
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a),
-                                                  pa.array(ids, pa.binary()), pa.array(signs, pa.binary()), pa.array(grams, pa.binary())],
-                                                 names=["row", "doc_id", "set_id", "bands", "grams"])
+                    ids.append(hashlib.md5(hashes[i:j].tobytes()).digest() if j > i else None)
+                    signs.append(next(sig).tobytes() if j > i else None)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("row", "doc_id", "t")), pa.array(ids, pa.binary()), pa.array(signs, pa.binary())],
+                                                 names=["row", "doc_id", "t", "set_id", "bands"])
 
-    rows_ = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
-    return rows_.mapInArrow(sign, f"row long, doc_id {dict(rows_.dtypes)['doc_id']}, set_id binary, bands binary, grams binary")
+    text = F.col("text").cast("string")
+    rows_ = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(text).alias("t"), text.alias("text"))
+    return rows_.mapInArrow(sign, f"row long, doc_id {dict(rows_.dtypes)['doc_id']}, t long, set_id binary, bands binary")
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """set_id, n_docs, bands and grams (the set's sorted hashes) of representatives' texts."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _lower(batch.column("text"))
+            for a, b in tx.batches_of(texts):
+                hashes, borders = shingle_sets(texts[a:b], words)
+                grams = [hashes[i:j].tobytes() for i, j in zip(borders[:-1].tolist(), borders[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("set_id", "n_docs", "bands")), pa.array(grams, pa.binary())],
+                                                 names=["set_id", "n_docs", "bands", "grams"])
+
+    return texts.select("set_id", "n_docs", "bands", "text").mapInArrow(cut, "set_id binary, n_docs long, bands binary, grams binary")
 
 
 def _verify(threshold: float, bands: int):
@@ -205,7 +217,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, reca
     kept (true for one row of each class: the smallest doc_id, of equal ones the first row)."""
     bands, rows = choose_bands(threshold, recall)
     sig = written(signatures(docs, bands, rows, words), "near-signatures")
-    one = F.struct("doc_id", "row")
+    one = F.struct("doc_id", "row", "t")
     sets = sig.filter("set_id is not null").groupBy("set_id").agg(
         F.count("*").alias("n_docs"), F.min(one).alias("first"), F.first("bands").alias("bands"))
     sets = written(sets, "near-sets")
@@ -222,9 +234,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, reca
     units = (members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("set_id", "band", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
     units = written(units, "near-units")
-    wanted = units.select("set_id").distinct()
-    full = (sig.filter("set_id is not null").join(wanted, "set_id", "left_semi").join(sets.select("set_id", F.col("first.row").alias("row")), ["set_id", "row"])
-            .select("set_id", "grams", "bands").join(sets.select("set_id", "n_docs"), "set_id"))
+    # the texts that stand for the sets in the units, found by a bitmap and then by their hash
+    wanted = units.select("set_id").distinct().join(sets.select("set_id", "n_docs", "bands", F.col("first.t").alias("t")), "set_id")
+    wanted = written(wanted, "near-wanted")
+    text = F.col("text").cast("string")
+    texts = bitmap.passing(docs.select(F.xxhash64(text).alias("t"), text.alias("text")), "t", wanted.select("t"))
+    texts = texts.groupBy("t").agg(F.first("text").alias("text"))
+    full = _sets(wanted.join(texts, "t"), words)
     loaded = units.join(full, "set_id").repartition("band", "bucket", "low", "high").sortWithinPartitions("band", "bucket", "low", "high", "set_id")
     links = written(loaded.mapInArrow(_verify(threshold, bands), "set_id binary, links long, doc_links long, edge binary"), "near-links")
     roots = components(links.filter("edge is not null").select(F.col("set_id").alias("a"), F.col("edge").alias("b")))
@@ -247,10 +263,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, all columns unchanged. ``docs`` must be a scan of files, whose
     rows keep their places between two reads; a row that doesn't fit its key stops the job."""
     found = join(docs, **options).filter("not kept").select("row", F.col("doc_id").alias("_key"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
     # a removed row has a match; its key must be the one that was judged
-    fits = F.col("_key").eqNullSafe(F.col("doc_id"))
+    fits = F.col("_key").eqNullSafe(F.col("_doc.doc_id"))
     gone = F.col("_hit").isNotNull()
     out = rows.join(found.select(F.col("row").alias("_row"), "_key", F.lit(True).alias("_hit")), "_row", "left")
     return (out.filter(F.when(~gone, True).when(fits, False).otherwise(F.raise_error(F.lit("rows moved between two reads"))))
-            .select(*docs.columns))
+            .select("_doc.*"))
