@@ -24,8 +24,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,11 +39,11 @@ from estate_spark.session import written
 ADD = 0.1                        # A of the unigram base
 DISCOUNT = 0.75                  # D
 LEAST_PAIR = 2                   # a pair's count from which the filter holds it
-GROWTH = 1.1                     # ratio of levels, for counts where it exceeds one and for g
-BITS, PROBES = 14, 10            # of the filter: bits an insertion, hashes a probe
+GROWTH, LEFT_GROWTH = 1.2, 1.1   # ratio of levels: of counts (where that is a step above one), of g
+BITS, PROBES = 12, 8             # of the filter: bits an insertion, hashes a probe
 FREQUENT_LOG2, HEAVY_LOG2 = 20, 12
 SEGMENT_BYTES = 128 << 20
-FLUSH = 3_000_000                # counted entries a task holds before it sends them
+FLUSH = 800_000                  # counted entries a task holds before it sends them
 END = np.uint64(0x5851F42D4C957F2D)
 _A, _B, _C = np.uint64(0xD1342543DE82EF95), np.uint64(0xA3EC647659359ACD), np.uint64(0x9FB21C651E98DF25)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -95,9 +94,11 @@ def _isin(values: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _batches(batch: pa.RecordBatch, column: str) -> Iterator[tuple[list[bytes], int, int]]:
-    texts = [(t or "").encode("utf-8", "replace").translate(tx.LOWER) for t in batch.column(column).to_pylist()]
-    for a, b in tx.batches_of(texts, 8 << 20):
-        yield texts[a:b], a, b
+    for lo in range(0, batch.num_rows, 1500):
+        part = batch.column(column).slice(lo, 1500).to_pylist()
+        texts = [(t or "").encode("utf-8", "replace").translate(tx.LOWER) for t in part]
+        for a, b in tx.batches_of(texts, 4 << 20):
+            yield texts[a:b], lo + a, lo + b
 
 
 def _rows(names: list[str], cols: list) -> pa.RecordBatch:
@@ -238,7 +239,7 @@ def _level(n: np.ndarray) -> np.ndarray:
 
 
 def _left_level(g: np.ndarray) -> np.ndarray:
-    return np.ceil(-np.log(np.maximum(g, 1e-12)) / np.log(GROWTH) - 1e-9).astype(np.int64)
+    return np.ceil(-np.log(np.maximum(g, 1e-12)) / np.log(LEFT_GROWTH) - 1e-9).astype(np.int64)
 
 
 def _build(pairs: DataFrame, unigrams: DataFrame, heavy: np.ndarray) -> DataFrame:
@@ -322,54 +323,56 @@ def train(docs: DataFrame, log2: int | None = None) -> Model:
 
 
 class Filter:
-    """Probes of the pieces of some buckets."""
+    """Probes of the pieces of some buckets, which lie behind each other in one array."""
 
-    def __init__(self, pieces: list[tuple[int, bytes]], log2: int):
-        self.log2 = log2
-        self.bits = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
+    def __init__(self, pieces: Iterable[tuple[int, bytes]], log2: int, total: int):
+        """``total``: the pieces' bytes together; they are read one by one."""
         self.size, self.start = np.zeros(1 << log2, np.int64), np.zeros(1 << log2, np.int64)
+        self.bits = np.empty(total, np.uint8)
         at = 0
         for b, p in pieces:
             self.size[b], self.start[b] = 8 * len(p), 8 * at
+            self.bits[at:at + len(p)] = np.frombuffer(p, np.uint8)
             at += len(p)
 
     def levels(self, keys: np.ndarray, bucket: np.ndarray, space: int) -> np.ndarray:
-        """The highest level up to which every probe of an entry hits."""
-        level = np.zeros(len(keys), np.int64)
-        live = np.flatnonzero(self.size[bucket] > 0)
+        """The level of each entry, 0 if it has none. An entry of level q is there under levels 1
+        to q, so doubling and then halving steps find q in about 2 log2 q probes."""
+        low = np.zeros(len(keys), np.int64)
+        high = np.where(self.size[bucket] > 0, 1 << 20, 1)
+        live = np.flatnonzero(high > 1)
         while len(live):
-            h = tx.mix(keys[live] + np.full(1, space, np.uint64) * _B + (level[live] + 1).astype(np.uint64) * _C)
+            a, b = low[live], high[live]
+            probe = np.where(b == 1 << 20, 2 * a + 1, (a + b) // 2)
+            hit = self._has(keys[live], bucket[live], space, probe)
+            low[live[hit]], high[live[~hit]] = probe[hit], probe[~hit]
+            live = live[high[live] - low[live] > 1]
+        return low
+
+    def _has(self, keys: np.ndarray, bucket: np.ndarray, space: int, level: np.ndarray) -> np.ndarray:
+        h = tx.mix(keys + np.full(1, space, np.uint64) * _B + level.astype(np.uint64) * _C)
+        out = np.zeros(len(keys), bool)
+        live = np.arange(len(keys))
+        for i in range(PROBES):
             b = bucket[live]
-            for i in range(PROBES):
-                at = self.start[b] + _positions(h, self.size[b], i).astype(np.int64)
-                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                live, h, b = live[hit], h[hit], b[hit]
-                if not len(live):
-                    break
-            level[live] += 1
-        return level
+            at = self.start[b] + _positions(h[live], self.size[b], i).astype(np.int64)
+            live = live[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            if not len(live):
+                return out
+        out[live] = True
+        return out
 
 
-_FILTERS: dict[str, Filter] = {}
-
-
-def _filter(key: str, pieces: list[tuple[int, bytes]], log2: int) -> Filter:
-    """A worker's filter, joined once for all its tasks of a pass."""
-    if key not in _FILTERS:
-        _FILTERS.clear()
-        _FILTERS[key] = Filter(pieces, log2)
-    return _FILTERS[key]
-
-
-def _segments(pieces: DataFrame, limit: int) -> list[list[int]]:
+def _segments(pieces: DataFrame, limit: int) -> list[tuple[list[int], int]]:
+    """(buckets, bytes) of each pass."""
     sizes = pieces.select("bucket", F.length("bits").alias("n")).orderBy("bucket").collect()
-    out, held = [[]], 0
+    out: list = [([], 0)]
     for r in sizes:
-        if out[-1] and held + r["n"] > limit:
-            out.append([])
-            held = 0
-        out[-1].append(r["bucket"])
-        held += r["n"]
+        buckets, held = out[-1]
+        if buckets and held + r["n"] > limit:
+            buckets, held = [], 0
+            out.append(([], 0))
+        out[-1] = ([*buckets, r["bucket"]], held + r["n"])
     return out
 
 
@@ -387,15 +390,14 @@ def score(docs: DataFrame, model: Model, segment_bytes: int = SEGMENT_BYTES) ->
     passes = []
     segments = _segments(model.pieces, segment_bytes)
     covered = np.zeros(1 << log2, bool)
-    covered[[b for s in segments for b in s]] = True
-    for segment in segments:
-        got = [(r["bucket"], bytes(r["bits"])) for r in model.pieces.filter(F.col("bucket").isin(segment)).collect()]
-        packed = spark.sparkContext.broadcast((segment, got, frequent))
+    covered[[b for s, _ in segments for b in s]] = True
+    for segment, size in segments:
+        got = model.pieces.filter(F.col("bucket").isin(segment)).toLocalIterator()
+        packed = spark.sparkContext.broadcast((segment, Filter(((r["bucket"], r["bits"]) for r in got), log2, size), frequent))
         first = not passes
 
-        def run(batches, packed=packed, first=first, key=uuid.uuid4().hex):
-            segment, pieces, (fk, fn) = packed.value
-            found = _filter(key, pieces, log2)
+        def run(batches, packed=packed, first=first):
+            segment, found, (fk, fn) = packed.value
             mine = np.zeros(1 << log2, bool)
             mine[segment] = True
             if first:                              # buckets without a piece belong to the first pass
@@ -436,7 +438,7 @@ def score(docs: DataFrame, model: Model, segment_bytes: int = SEGMENT_BYTES) ->
                     some = np.flatnonzero(hc > 0)
                     left[some] = found.levels(hk[some], hb[some], LEFT)
                     c = np.where(hc > 0, EDGES[np.minimum(hc, len(EDGES) - 1)] - 1, 1).astype(float)[hinv]
-                    g = (GROWTH ** -left.astype(float))[hinv]
+                    g = (LEFT_GROWTH ** -left.astype(float))[hinv]
                     c[is_heavy], g[is_heavy] = heavy_n[at[is_heavy]], heavy_left[at[is_heavy]]
                     pk, pfirst, pinv = np.unique(pair, return_index=True, return_inverse=True)
                     can = (hc[hinv] > 0) | is_heavy
@@ -447,8 +449,8 @@ def score(docs: DataFrame, model: Model, segment_bytes: int = SEGMENT_BYTES) ->
                     a = np.where(level > 0, np.minimum((EDGES[np.maximum(level, 1) - 1] - DISCOUNT) / c, 1.0), 0.0)
                     known, place = _isin(token, fk)
                     p = (np.where(known, fn[place] if len(fn) else 0, 0) + ADD) / below
-                    base = np.bincount(number[known], weights=np.log10(p[known]), minlength=n)
-                    full = np.bincount(number[known], weights=np.log10(a[known] + g[known] * p[known]), minlength=n)
+                    base = np.bincount(number[known], weights=np.log10(p[known]), minlength=n).astype(float)
+                    full = np.bincount(number[known], weights=np.log10(a[known] + g[known] * p[known]), minlength=n).astype(float)
                     count = np.bincount(number, minlength=n)
                     seen = np.bincount(number[known], minlength=n)
                     yield pa.RecordBatch.from_arrays([
@@ -492,7 +494,7 @@ def _rare_sums(blocks: DataFrame, model: Model, below: float) -> DataFrame:
             for origin, parts in held.items():
                 row, base, full, known = (np.concatenate(x) for x in zip(*parts))
                 unique, inverse = np.unique(row, return_inverse=True)
-                sums = [np.bincount(inverse, weights=x) for x in (base, full, known)]
+                sums = [np.bincount(inverse, weights=x).astype(float) for x in (base, full, known)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([origin]), pa.array([unique.astype("<u4").tobytes()], pa.binary()),
                     *[pa.array([s.tobytes()], pa.binary()) for s in sums[:2]], pa.array([sums[2].astype("<u4").tobytes()], pa.binary())],

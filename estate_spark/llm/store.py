@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 
 
@@ -38,8 +39,8 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         cols = [batch.column(k) for k in keys]
         changes = None
         for c in cols:
-            diff = pa.compute.not_equal(c.slice(1), c.slice(0, n - 1)) if n > 1 else pa.array([], pa.bool_())
-            changes = diff if changes is None else pa.compute.or_(changes, diff)
+            diff = pc.not_equal(c.slice(1), c.slice(0, n - 1)) if n > 1 else pa.array([], pa.bool_())
+            changes = diff if changes is None else pc.or_(changes, diff)
         starts = [0, *(i + 1 for i, x in enumerate(changes.to_pylist()) if x), n]
         for a, b in zip(starts, starts[1:]):
             here = tuple(c[a].as_py() for c in cols)
