@@ -195,7 +195,7 @@ def drop(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = B
 
         def keep(batches: Iterator[pa.RecordBatch], packed=packed, key=key) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(key, packed.value)
-            for batch in batches:
+            for batch in tx.parts(batches):
                 clean = [not scan(normal_words(t), automaton)[0].any() for t in batch.column(text).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

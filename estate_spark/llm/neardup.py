@@ -104,7 +104,7 @@ def _lower(column: pa.Array) -> list[bytes]:
 def signatures(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFrame:
     """row, doc_id, t (the text's hash), set_id (digest of the set) and bands, both null without words."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.parts(batches):
             texts = _lower(batch.column("text"))
             for a, b in tx.batches_of(texts):
                 hashes, borders = shingle_sets(texts[a:b], words)
@@ -124,7 +124,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> Da
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     """set_id, n_docs, bands and grams (the set's sorted hashes) of representatives' texts."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.parts(batches):
             texts = _lower(batch.column("text"))
             for a, b in tx.batches_of(texts):
                 hashes, borders = shingle_sets(texts[a:b], words)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from estate_spark.llm import store
+from estate_spark.llm import text as tx
 from estate_spark.session import scratch_path, written
 
 # fixed value: the mask of the checksums
@@ -154,9 +155,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
 
         def body(out) -> None:
             nonlocal file_no, at
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in tx.parts(batches):
                 if file_no is None:
                     file_no = batch.column("file_no")[0].as_py()
                     head = frame(json.dumps({"width": enc.width, "end": end_id}).encode())

@@ -79,6 +79,13 @@ def words(texts: list[bytes], part: np.ndarray = BLANKS) -> tuple[np.ndarray, np
     return h, np.searchsorted(border, starts, side="right"), starts, ends
 
 
+def parts(batches, rows: int = 500):
+    """Arrow batches in slices of few rows, so that only few texts are Python strings at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def batches_of(texts: list[bytes], limit: int = 2 << 20):
     """Slices (a, b) of the list with about ``limit`` bytes each, one text at least."""
     a, size = 0, 0

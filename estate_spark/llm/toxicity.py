@@ -100,7 +100,7 @@ def _counts(sample: DataFrame) -> DataFrame:
     """feature, n, toxic: texts with a feature, and toxic ones."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, toxic = np.zeros((2, 1 << HASH_LOG2), np.int64)
-        for batch in batches:
+        for batch in tx.parts(batches):
             texts, labels = _lower(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist())
             for a, b in tx.batches_of(texts):
                 owner, f = features_of(texts[a:b])
@@ -143,7 +143,7 @@ def fit(sample: DataFrame, groups=IDENTITY, pairing: float = PAIRING) -> Classif
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.zeros(1 << HASH_LOG2, bool)
         wanted[features] = True
-        for batch in batches:
+        for batch in tx.parts(batches):
             texts, labels = [t or "" for t in batch.column(0).to_pylist()], batch.column(1)
             sides = []
             for side in (texts, [swapped(t, groups) for t in texts]):
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, score, predicted for every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weight_table(model)
-        for batch in batches:
+        for batch in tx.parts(batches):
             s = scores(batch.column(1).to_pylist(), model, table)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
