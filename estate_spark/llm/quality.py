@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from estate_spark.llm import lm, store
 from estate_spark.llm import text as tx
+from estate_spark.session import written
 
 COMMON = 48                      # common words of a language
 LEAST_SHARE = 1 / 256            # of all words, for a language to have its own reference
@@ -30,6 +32,7 @@ LEAST_CHARS, LEAST_WORDS = 200, 100
 MOST_CLASS, MOST_WORD = 0.27, 0.45
 MIN_WORDS, MOST_REPEAT = 50, 50  # base rule: words, percent of repeated words
 CLASSES = 8
+FLUSH = 500_000                  # counted words a task holds before it sends them
 ALL = ""                         # the key of the reference of all documents
 
 # character classes of bytes; class 7 counts nothing (bytes inside a code point)
@@ -101,52 +104,77 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def references(docs: DataFrame) -> dict[str, dict]:
-    """language -> {classes, words, counts}: one pass over all texts, bounded result."""
+    """language -> {classes, keys, counts}: one pass over all texts, bounded result. Tasks send
+    packed counts by hash bucket; a bucket's total counts are merged in one task, which passes on
+    each language's ``COMMON`` most frequent words and sums."""
+    log2 = 5
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held: dict[str, list] = {}                 # language -> [sorted keys, counts, classes]
+        size = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for name, (keys, n, classes) in held.items():
+                order = np.argsort(lm._bucket(keys, log2), kind="stable")
+                keys, n = keys[order], n[order]
+                blocks = [(b, keys[i:j].tobytes(), n[i:j].astype("<u4").tobytes()) for b, i, j in lm._cut(lm._bucket(keys, log2))]
+                blocks.append((-1, None, classes.astype("<u8").tobytes()))
+                bucket, packed, counts = zip(*blocks)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(blocks)), pa.array(bucket, pa.int32()), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())],
+                                                 names=["lang", "bucket", "keys", "counts"])
+
+        for batch in tx.parts(batches):
             langs, texts = batch.column(0).to_pylist(), _bytes(batch.column(1))
-            for a, b in tx.batches_of(texts, 8 << 20):
-                part, own = texts[a:b], np.array([x if x is not None else ALL for x in langs[a:b]], object)
-                names, number = np.unique(own.astype(str), return_inverse=True)
+            for a, b in tx.batches_of(texts):
+                part = texts[a:b]
+                names, number = np.unique(np.array([x if x is not None else ALL for x in langs[a:b]], str), return_inverse=True)
                 h, owner, _, _ = tx.words([t.translate(tx.LOWER) for t in part])
                 kinds = histograms(part)
                 of = number[owner]
-                for i, name in enumerate(names):
+                for i, name in enumerate(names.tolist()):
                     keys, n = np.unique(h[of == i], return_counts=True)
-                    classes = kinds[number == i].sum(0)[:7]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([str(name)] * (len(keys) + 7)), pa.array([False] * len(keys) + [True] * 7),
-                        pa.array(np.concatenate([keys.view(np.int64), np.arange(7)])),
-                        pa.array(np.concatenate([n, classes]).astype(np.int64))], names=["lang", "is_class", "key", "n"])
+                    old = held.get(name, [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(7, np.int64)])
+                    keys, n = lm._summed(np.concatenate([old[0], keys]), np.concatenate([old[1], n]))
+                    held[name] = [keys, n, old[2] + kinds[number == i].sum(0)[:7]]
+                size = sum(len(x[0]) for x in held.values())
+                if size > FLUSH:
+                    yield from send()
+                    held, size = {}, 0
+        yield from send()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in store.runs(batches, ["bucket"]):
+            bucket, by = run.column("bucket")[0].as_py(), {}
+            for lang, k, c in zip(*[run.column(x).to_pylist() for x in ("lang", "keys", "counts")]):
+                pair = (np.arange(7, dtype=np.uint64), np.frombuffer(c, "<u8").astype(np.int64)) if bucket < 0 else lm._numbers(k, c)
+                for name in {lang, ALL}:
+                    by.setdefault(name, []).append(pair)
+            for name, pairs in by.items():
+                keys, n = lm._summed(np.concatenate([k for k, _ in pairs]), np.concatenate([c for _, c in pairs]))
+                top = np.lexsort((keys.view(np.int64), -n))[:COMMON]
+                m = len(top)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name] * (m + 1)), pa.array([bucket < 0] * (m + 1)), pa.array([*keys[top].view(np.int64).tolist(), None], pa.int64()),
+                    pa.array([*n[top].tolist(), int(n.sum())])], names=["lang", "is_class", "key", "n"])
 
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = rows.mapInArrow(count, "lang string, is_class boolean, key long, n long")
-    counts = counts.groupBy("lang", "is_class", "key").agg(F.sum("n").alias("n"))
-    total = Window.partitionBy("lang", "is_class")
-    # words per language beyond the common ones only matter as a total
-    sums = counts.groupBy("lang", "is_class").agg(F.sum("n").alias("all"))
-    words_all = sum(r["all"] for r in sums.filter("not is_class").agg(F.sum("all").alias("all")).collect() if r["all"])
-    large = [r["lang"] for r in sums.filter(~F.col("is_class") & (F.col("all") >= words_all * LEAST_SHARE)).select("lang").collect()
-             if r["lang"] != ALL]
-    group = F.when(F.col("lang").isin(large), F.array("lang", F.lit(ALL))).otherwise(F.array(F.lit(ALL)))
-    counts = (counts.withColumn("lang", F.explode(group)).groupBy("lang", "is_class", "key").agg(F.sum("n").alias("n")))
-    top = counts.withColumn("r", F.row_number().over(total.orderBy(F.desc("n"), "key"))).filter(F.col("r") <= COMMON)
-    sums = counts.groupBy("lang", "is_class").agg(F.sum("n").alias("all"))
-    out: dict[str, dict] = {}
-    for r in top.collect():
-        ref = out.setdefault(r["lang"], {"classes": np.zeros(7), "words": {}, "all": 0})
-        if r["is_class"]:
-            ref["classes"][r["key"]] = r["n"]
-        else:
-            ref["words"][r["key"]] = r["n"]
-    for r in sums.filter("not is_class").collect():
-        if r["lang"] in out:
-            out[r["lang"]]["all"] = r["all"]
+    parts = rows.mapInArrow(count, "lang string, bucket int, keys binary, counts binary").repartition("bucket").sortWithinPartitions("bucket")
+    counts = written(parts.mapInArrow(merge, "lang string, is_class boolean, key long, n long"), "quality-words")
+    sums = counts.filter("key is null and not is_class").groupBy("lang").agg(F.sum("n").alias("all"))
+    total = sums.filter(F.col("lang") == ALL).agg(F.max("all")).first()[0] or 0
+    large = sums.filter((F.col("lang") == ALL) | (F.col("all") >= total * LEAST_SHARE)).collect()
+    of = Window.partitionBy("lang", "is_class").orderBy(F.desc("n"), "key")
+    top = (counts.filter(F.col("key").isNotNull() & F.col("lang").isin([r["lang"] for r in large]))
+           .withColumn("r", F.row_number().over(of)).filter(F.col("r") <= COMMON).collect())
     packed = {}
-    for lang, ref in out.items():
-        keys = np.array(sorted(ref["words"]), np.int64)
-        n = np.array([ref["words"][k] for k in keys.tolist()], float)
-        packed[lang] = {"classes": ref["classes"], "keys": keys, "counts": np.append(n, ref["all"] - n.sum())}
+    for lang, every in ((r["lang"], r["all"]) for r in large):
+        mine = sorted((r["key"], r["n"]) for r in top if r["lang"] == lang and not r["is_class"])
+        classes = np.zeros(7)
+        for r in top:
+            if r["lang"] == lang and r["is_class"]:
+                classes[r["key"]] = r["n"]
+        n = np.array([x for _, x in mine], float)
+        packed[lang] = {"classes": classes, "keys": np.array([k for k, _ in mine], np.int64), "counts": np.append(n, every - n.sum())}
     return packed
 
 
@@ -193,7 +221,7 @@ def judge(docs: DataFrame, refs: dict[str, dict] | None = None) -> DataFrame:
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.parts(batches):
             langs, texts = batch.column(1).to_pylist(), _bytes(batch.column(2))
             for a, b in tx.batches_of(texts):
                 v = verdicts(texts[a:b], langs[a:b], refs)
@@ -213,7 +241,7 @@ def keep(docs: DataFrame, refs: dict[str, dict] | None = None) -> DataFrame:
     lang, text = docs.columns.index("lang"), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.parts(batches):
             langs, texts = batch.column(lang).to_pylist(), _bytes(batch.column(text))
             for a, b in tx.batches_of(texts):
                 yield batch.slice(a, b - a).filter(pa.array(verdicts(texts[a:b], langs[a:b], refs)["kept"]))
