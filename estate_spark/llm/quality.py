@@ -107,7 +107,7 @@ def references(docs: DataFrame) -> dict[str, dict]:
     """language -> {classes, keys, counts}: one pass over all texts, bounded result. Tasks send
     packed counts by hash bucket; a bucket's total counts are merged in one task, which passes on
     each language's ``COMMON`` most frequent words and sums."""
-    log2 = 5
+    log2 = min(14, max(5, (2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}                 # language -> [sorted keys, counts, classes]
