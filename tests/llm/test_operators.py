@@ -334,6 +334,29 @@ def test_lines_of_the_test_table(spark, sf, texts):
     assert extra <= 0.01 * sum(map(len, want.values()))
 
 
+def full_shingles(x):
+    x = x.lower()
+    return frozenset(x[i:i + lines.SHINGLE] for i in range(max(1, len(x) - lines.SHINGLE + 1)))
+
+
+UNBROKEN = [
+    "https://example.org/a", "https://other.net/zzz", "Zusammenfassung", "Zusammenarbeit", "Zusammenarbeit", "abc", "ABC", "abd", "\u3042",
+    "\u3053\u308c\u306f\u9577\u3044\u6587\u3067\u3059\u3001\u6700\u521d\u306f\u540c\u3058\u3067\u3059", "\u3053\u308c\u306f\u9577\u3044\u6587\u3067\u3059\u304c\u3001\u7d42\u308f\u308a\u306f\u5225\u3067\u3059",
+    "column\tone\ttwo\t17", "column\tone\tsix\t99", "x" * 30 + "y", "x" * 40, "\U0001F600" * 9 + "ab", "\U0001F600" * 9 + "cd",
+    "https://example.org/" + "abcdefghijklmnopqrstuvwxyz0123456789" * 2, "https://example.org/" + "abcdefghijklmnopqrstuvwxyz0123456789" * 2 + "0"]
+
+
+def test_lines_on_full_shingles(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(globals(), "shingles", full_shingles)
+    rows = [(i, x, "en", "s") for i, x in enumerate(UNBROKEN)]
+    docs = stored(spark, tmp_path, rows)
+    want = line_classes(UNBROKEN)
+    got = {r["doc_id"]: r["dropped"] for r in lines.report(docs).collect()}
+    assert want and got == {i: want.get(i, []) for i in range(len(rows))}
+    sets = {r["doc_id"]: r["n"] for r in docs.select("doc_id", F.size(lines.shingles(F.col("text"))).alias("n")).collect()}
+    assert sets == {i: len(full_shingles(x)) for i, x in enumerate(UNBROKEN)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (5, 5), (None, 3)]
     df = spark.createDataFrame(edges, "a long, b long")
