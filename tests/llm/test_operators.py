@@ -357,6 +357,33 @@ def test_lines_on_full_shingles(spark, tmp_path, monkeypatch):
     assert sets == {i: len(full_shingles(x)) for i, x in enumerate(UNBROKEN)}
 
 
+def test_lines_of_the_test_table_on_full_shingles(spark, sf, texts, monkeypatch):
+    monkeypatch.setitem(globals(), "shingles", full_shingles)
+    order = {r["doc_id"]: r["row"] for r in spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "monotonically_increasing_id() AS row").collect()}
+    ids = sorted(texts, key=order.get)
+    want = line_classes([texts[i] for i in ids])
+    got = by_id(spark, sf, "op6_line_dedup")
+    gone = {(n, p) for n, at in want.items() for p in at}
+    found = {(n, p) for n, i in enumerate(ids) for p in got[i]["dropped"]}
+    assert len(gone ^ found) <= 0.005 * len(gone)
+
+
+@pytest.mark.parametrize("size", [10, 20, 40])
+def test_line_bands_reach_the_recall(spark, size):
+    """Pairs of sets of 31-bit numbers at a similarity of 0.8, through the operator's permutations."""
+    pairs, both = 2000, 8 * size // 10
+    rng = np.random.default_rng(size)
+    rows = []
+    for p in range(pairs):
+        h = rng.integers(0, 2**31, size).tolist()
+        rows += [(p, side, x) for side in (0, 1) for x in h[:both] + h[both + side::2]]
+    each = spark.createDataFrame(rows, "p int, side int, h long").groupBy("p", "side")
+    low = {(r["p"], r["side"]): r[2:] for r in each.agg(*[F.min(lines.permuted(F.col("h"), i)) for i in range(lines.BANDS * lines.ROWS)]).collect()}
+    k = lines.ROWS
+    hit = sum(any(low[p, 0][b:b + k] == low[p, 1][b:b + k] for b in range(0, lines.BANDS * k, k)) for p in range(pairs))
+    assert hit >= 0.99 * pairs
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (5, 5), (None, 3)]
     df = spark.createDataFrame(edges, "a long, b long")
