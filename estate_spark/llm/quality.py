@@ -2,13 +2,14 @@
 
 References are made from all documents: per language the histogram over character classes and
 over the language's ``COMMON`` most frequent words plus one class for all others. A language
-needs 1/256 of all words to get its own; the rest share the reference of all documents, so
-there are at most 257 references whatever the input. A document's histograms are compared with
-its reference by Jensen-Shannon distance (base 2, 0 to 1). Short texts have ragged histograms,
-so a distance decides only from a minimum length on.
-
-Defined results: a null text has no words and fails the base rule; a null or rare language uses the
-common reference; equal rows are judged alike and all stay; an empty table gives an empty result;
+needs ``LEAST_REFERENCE`` words to get its own, whatever its share; a reference takes about 1 KB in the
+driver and in tasks, so their memory grows with the number of such languages. A document's histograms
+are compared with its reference by Jensen-Shannon distance (base 2, 0 to 1). Short texts have ragged
+histograms, so a distance decides only from a minimum length on. Without a reference of the language
+the distances are those to all documents, and don't decide.
+
+Defined results: a null text has no words and fails the base rule; a null, empty or
+rare language is judged by the base rule alone; equal rows are judged alike and all stay; an empty table gives an empty result;
 in ``judge`` other columns are ignored, ``keep`` returns all of them.
 """
 
@@ -27,7 +28,7 @@ from estate_spark.llm import text as tx
 from estate_spark.session import written
 
 COMMON = 48                      # common words of a language
-LEAST_SHARE = 1 / 256            # of all words, for a language to have its own reference
+LEAST_REFERENCE = 2000           # words of a language that has its own reference
 LEAST_CHARS, LEAST_WORDS = 200, 100
 MOST_CLASS, MOST_WORD = 0.27, 0.45
 MIN_WORDS, MOST_REPEAT = 50, 50  # base rule: words, percent of repeated words
@@ -161,18 +162,18 @@ def references(docs: DataFrame) -> dict[str, dict]:
     parts = rows.mapInArrow(count, "lang string, bucket int, keys binary, counts binary").repartition("bucket").sortWithinPartitions("bucket")
     counts = written(parts.mapInArrow(merge, "lang string, is_class boolean, key long, n long"), "quality-words")
     sums = counts.filter("key is null and not is_class").groupBy("lang").agg(F.sum("n").alias("all"))
-    total = sums.filter(F.col("lang") == ALL).agg(F.max("all")).first()[0] or 0
-    large = sums.filter((F.col("lang") == ALL) | (F.col("all") >= total * LEAST_SHARE)).collect()
+    large = written(sums.filter((F.col("lang") == ALL) | (F.col("all") >= LEAST_REFERENCE)), "quality-languages")
     of = Window.partitionBy("lang", "is_class").orderBy(F.desc("n"), "key")
-    top = (counts.filter(F.col("key").isNotNull() & F.col("lang").isin([r["lang"] for r in large]))
+    top = (counts.filter("key is not null").join(large, "lang", "left_semi")
            .withColumn("r", F.row_number().over(of)).filter(F.col("r") <= COMMON).collect())
-    packed = {}
-    for lang, every in ((r["lang"], r["all"]) for r in large):
-        mine = sorted((r["key"], r["n"]) for r in top if r["lang"] == lang and not r["is_class"])
+    packed, by = {}, {}
+    for r in top:
+        by.setdefault((r["lang"], r["is_class"]), []).append((r["key"], r["n"]))
+    for lang, every in ((r["lang"], r["all"]) for r in large.collect()):
+        mine = sorted(by.get((lang, False), []))
         classes = np.zeros(7)
-        for r in top:
-            if r["lang"] == lang and r["is_class"]:
-                classes[r["key"]] = r["n"]
+        for key, count in by.get((lang, True), []):
+            classes[key] = count
         n = np.array([x for _, x in mine], float)
         packed[lang] = {"classes": classes, "keys": np.array([k for k, _ in mine], np.int64), "counts": np.append(n, every - n.sum())}
     return packed
@@ -186,6 +187,7 @@ def verdicts(texts: list[bytes], langs: list[str | None], refs: dict[str, dict])
     c.pop("_hash"), c.pop("_owner")
     kinds = c.pop("_kinds")
     which = np.array([x if x in refs else ALL for x in langs], object)
+    own = np.array([x != ALL for x in which], bool)
     by_class, by_word = np.zeros(n), np.zeros(n)
     for lang in set(which.tolist()):
         if lang not in refs:
@@ -208,7 +210,7 @@ def verdicts(texts: list[bytes], langs: list[str | None], refs: dict[str, dict])
     c["class_distance"], c["word_distance"] = by_class, by_word
     c["base_failed"] = (words < MIN_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEAT * words)
     odd = ((kinds[:, :7].sum(1) >= LEAST_CHARS) & (by_class > MOST_CLASS)) | ((words >= LEAST_WORDS) & (by_word > MOST_WORD))
-    c["kept"] = ~c["base_failed"] & ~odd
+    c["kept"] = ~c["base_failed"] & ~(odd & own)
     return c
 
 

@@ -589,6 +589,24 @@ def test_quality_awkward(spark, awkward, empty):
     assert quality.judge(empty).count() == 0 and quality.keep(empty).count() == 0
 
 
+def test_quality_of_a_rare_language(spark, tmp_path):
+    rng = np.random.default_rng(6)
+
+    def text_of(letters, n):
+        pool = ["".join(rng.choice(list(letters), 6)) for _ in range(400)]
+        return " ".join(rng.choice(pool, n))
+    latin, cyrillic = "abcdefghijklmnopqrst", "\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u0438\u043a\u043b\u043c\u043d\u043e\u043f"
+    rows = [(i, text_of(latin, 20_000), "en", "s") for i in range(40)]
+    rows += [(100, text_of(cyrillic, 150), None, "s"), (101, text_of(cyrillic, 150), "uk", "s"), (102, text_of(cyrillic, 150), "", "s")]
+    rows += [(200 + i, text_of(cyrillic, 300), "ru", "s") for i in range(9)] + [(300, text_of("0123456789", 300), "ru", "s")]
+    docs = stored(spark, tmp_path, rows)
+    refs = quality.references(docs)
+    assert set(refs) == {"", "en", "ru"}
+    kept = {r["doc_id"] for r in quality.judge(docs, refs).filter("kept").collect()}
+    assert kept == {i for i, *_ in rows} - {300}
+    assert {r["doc_id"] for r in quality.keep(docs, refs).collect()} == kept
+
+
 def test_distance():
     p = np.array([[1.0, 0, 0], [1, 1, 2]])
     assert quality.distance(p, np.array([0, 0, 5.0])).tolist() == pytest.approx([1.0, 0.5579230452841438])
