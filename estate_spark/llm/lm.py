@@ -1,7 +1,7 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Model: P(w | v) = max(c(v,w) - D, 0) / c(v) + g(v) * P(w) for word pairs seen twice or more in
-the training texts, with g(v) the mass that the discounted pairs of v leave and
+Model: P(w | v) = max(c(v,w) - D, 0) / c(v) + g(v) * P(w) for every word pair of the
+training texts, with g(v) the mass that the discounted pairs of v leave and
 P(w) = (c(w) + A) / (N + A (V + 1)). The filter holds, for every such pair and every word with
 such pairs, its count on a logarithmic scale, and g(v) likewise: an entry of level q is inserted
 under q hashes, and a count is read by probing levels 1, 2, ... until one is missing. Counts
@@ -38,7 +38,7 @@ from estate_spark.session import written
 
 ADD = 0.1                        # A of the unigram base
 DISCOUNT = 0.75                  # D
-LEAST_PAIR = 2                   # a pair's count from which the filter holds it
+LEAST_PAIR = 1                   # the count of level 1: every pair is held
 GROWTH, LEFT_GROWTH = 1.2, 1.1   # ratio of levels: of counts (where that is a step above one), of g
 BITS, PROBES = 12, 8             # of the filter: bits an insertion, hashes a probe
 FREQUENT_LOG2, HEAVY_LOG2 = 20, 12
@@ -263,8 +263,7 @@ def _build(pairs: DataFrame, unigrams: DataFrame, heavy: np.ndarray) -> DataFram
                 v, w, n = (np.concatenate(x) for x in zip(*held))
                 keys, first, inverse = np.unique(_pair(v, w), return_index=True, return_inverse=True)
                 n = np.bincount(inverse, weights=n).astype(np.int64)
-                keep = n >= LEAST_PAIR
-                keys, n, v = keys[keep], n[keep], v[first][keep]
+                v = v[first]
             else:
                 keys, n, v = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
             own, inverse = np.unique(v, return_inverse=True)

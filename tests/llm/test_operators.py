@@ -526,6 +526,23 @@ def test_scores_of_the_test_table(spark, sf, texts):
     assert sum(got[i]["score"] - got[i]["base_score"] for i, h in zip(ids, held) if h) > 0
 
 
+def test_pairs_seen_once(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    plain = " ".join(f"w{x}" for x in rng.permutation(400))
+    other = " ".join(f"w{x}" for x in rng.permutation(400))
+    copy = " ".join([*plain.split()[:300], "unseen", *plain.split()[301:]])
+    docs = stored(spark, tmp_path, [(0, plain, "en", "s"), (1, copy, "en", "s"), (2, other, "en", "s")])
+    got = {r["doc_id"]: r for r in lm.score(docs, lm.train(docs.filter("doc_id = 0").select("text"), log2=3)).collect()}
+    seen, t = set(zip(["\n", *plain.split()], [*plain.split(), "\n"])), {0: plain, 1: copy, 2: other}
+    for i in range(3):
+        tokens, want = [*t[i].split(), "\n"], 0.0
+        for a, w in zip(["\n", *tokens], tokens):
+            p = (0.1 + (w != "unseen")) / (401 + 0.1 * 402)
+            want += math.log10(((a, w) in seen) * 0.25 + (1 if a == "unseen" else 0.75) * p)
+        assert got[i]["score"] == pytest.approx(want, abs=0.06 * len(tokens) + 1)
+    assert got[1]["score"] > got[1]["base_score"] + 500
+
+
 @pytest.mark.parametrize("segment", [1, 128 << 20])
 def test_lm_awkward(spark, awkward, empty, segment):
     model = lm.train(awkward.select("text"), log2=3)
