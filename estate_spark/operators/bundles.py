@@ -5,14 +5,15 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
-from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estate_spark.operators import features, lookup
 from estate_spark.operators.models import Bundle
 
-_PLAIN = ["names", "leaf_low", "leaf_high", "calibration_q", "test_coverage", "test_metrics", "run_id"]
+_PLAIN = ["names", "quantiles", "calibration_q", "test_coverage", "test_metrics", "rounds", "run_id"]
+_MODELS = ["point", "low", "high"]
 
 
 def save_bundle(spark: SparkSession, bundle: Bundle, root: str, run_name: str = "tabular", production: bool = False,
@@ -20,8 +21,8 @@ def save_bundle(spark: SparkSession, bundle: Bundle, root: str, run_name: str =
     """Write the models and their preparation under ``root`` and append a row to its run log;
     returns the bundle's path. The same run is stored once."""
     path = f"{root}/bundles/{bundle.run_id}"
-    bundle.point.write().overwrite().save(f"{path}/point")
-    bundle.forest.write().overwrite().save(f"{path}/forest")
+    for name in _MODELS:
+        getattr(bundle, name).write().overwrite().save(f"{path}/{name}")
     state = {k: getattr(bundle, k) for k in _PLAIN} | {"prep": asdict(bundle.prep)}
     spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
     metrics = {k: float(v) for k, v in bundle.test_metrics.items() if v is not None} | {
@@ -36,8 +37,7 @@ def save_bundle(spark: SparkSession, bundle: Bundle, root: str, run_name: str =
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
     state = json.loads(spark.read.text(f"{path}/state", wholetext=True).first()["value"])
-    return Bundle(features.Prep(**state.pop("prep")), point=GBTRegressionModel.load(f"{path}/point"),
-                  forest=RandomForestRegressionModel.load(f"{path}/forest"), **state)
+    return Bundle(features.Prep(**state.pop("prep")), **{n: GBTRegressionModel.load(f"{path}/{n}") for n in _MODELS}, **state)
 
 
 def run_rows(spark: SparkSession, root: str) -> DataFrame:

@@ -1,30 +1,26 @@
-"""Price models on Spark ML: boosted trees, a leaf-quantile forest, a log-price rival,
-a probe head, and the bundle that scores batches."""
+"""Price models on Spark ML: boosted trees for the price and for its quantiles, a log-price
+rival, a probe head, and the bundle that scores batches."""
 
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import (GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estate_spark import contract as C
-from estate_spark.operators import evaluate, features, sampling
+from estate_spark.operators import boost, evaluate, features, sampling
 from estate_spark.session import written
 
 SEED = 42
-# boosting rounds and depth are ours (Spark grows level-wise trees); the rest mirrors the
-# usual shrinkage and row sampling of such models
-POINT_PARAMS = {"maxIter": 30, "maxDepth": 5, "stepSize": 0.15, "subsamplingRate": 0.8, "minInstancesPerNode": 5}
-FOREST_PARAMS = {"numTrees": 12, "maxDepth": 5, "subsamplingRate": 0.8, "minInstancesPerNode": 20}
-LEAF, VECTOR = "leaf", "features"
+VECTOR = "features"
 
 
 @dataclass
@@ -32,18 +28,20 @@ class Bundle:
     prep: features.Prep
     names: list[str]                 # vector slots, in order
     point: object
-    forest: object
-    leaf_low: list[list[float]]      # tree -> leaf -> quantile
-    leaf_high: list[list[float]]
+    low: object                      # trees of the lower quantile, see boost.predict_steps
+    high: object
+    quantiles: dict                  # base, steps and rate of low and high
     calibration_q: float = 0.0
     test_coverage: float = 0.0
     test_metrics: dict = field(default_factory=dict)
+    rounds: dict = field(default_factory=dict)      # model -> best round, rounds run, held losses
     run_id: str = ""
 
     def info(self) -> dict:
-        return {"model_type": "spark_gbt", "run_id": self.run_id, "interval_method": "cqr_leaf_quantile",
+        return {"model_type": "spark_gbt", "run_id": self.run_id, "interval_method": "cqr_boosted_quantiles",
                 "interval_coverage": evaluate.NOMINAL_COVERAGE, "interval_test_coverage": self.test_coverage,
-                "calibration_q": self.calibration_q, "test_metrics": self.test_metrics}
+                "calibration_q": self.calibration_q, "test_metrics": self.test_metrics,
+                "best_rounds": {k: v["best"] for k, v in self.rounds.items()}}
 
 
 def vector_names(prep: features.Prep) -> list[str]:
@@ -68,57 +66,26 @@ def _bins(prep: features.Prep) -> int:
     return max([32, *[len(v) + 2 for v in prep.levels.values()]])
 
 
-def train_point(assembled: DataFrame, prep: features.Prep, **params):
-    """Boosted trees; rows of split ``val`` stop the boosting early, where there are any."""
-    rows = assembled.filter(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
-    gbt = GBTRegressor(featuresCol=VECTOR, labelCol=C.TARGET, predictionCol="estimate", seed=SEED,
-                       maxBins=_bins(prep), **{**POINT_PARAMS, **params})
-    if not rows.filter("is_val").isEmpty():
-        gbt.setValidationIndicatorCol("is_val")
-    return gbt.fit(rows)
-
-
-def train_quantile(train: DataFrame, prep: features.Prep, alphas: tuple[float, float], **params):
-    """(forest, low table, high table): per tree and leaf the price quantiles of the train
-    rows in it, after Meinshausen (2006) with per-leaf quantiles averaged over the trees.
-    The quantile sketch has a bounded state and combines map-side, so a leaf that holds a
-    large share of all rows costs no more than another."""
-    rf = RandomForestRegressor(featuresCol=VECTOR, labelCol=C.TARGET, predictionCol="forest", seed=SEED,
-                               leafCol=LEAF, maxBins=_bins(prep), **{**FOREST_PARAMS, **params})
-    model = rf.fit(train)
-    leaves = model.transform(train).select(C.TARGET, F.posexplode(vector_to_array(F.col(LEAF))).alias("tree", "leaf"))
-    rows = leaves.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).agg(
-        F.percentile_approx(C.TARGET, list(alphas), 10000).alias("q")).collect()   # trees x leaves rows
-    overall = [sum(r["q"][i] for r in rows) / len(rows) for i in (0, 1)]
-    tables = []
-    for side in (0, 1):
-        table = []
-        for t in range(model.getNumTrees):
-            mine = {r["leaf"]: r["q"][side] for r in rows if r["tree"] == t}
-            table.append([float(mine.get(i, overall[side])) for i in range(max(mine, default=0) + 1)])
-        tables.append(table)
-    return model, tables[0], tables[1]
-
-
-def _leaf_average(df: DataFrame, bundle: Bundle) -> DataFrame:
-    """q05, q95: mean leaf quantile over the trees, from the model's own leaf table."""
-    table = df.sparkSession.createDataFrame(
-        [(bundle.leaf_low, bundle.leaf_high)], "low array<array<double>>, high array<array<double>>")
-    one = table.select(F.struct("low", "high")).scalar()
-    trees = len(bundle.leaf_low)
-    out = df.withColumn("_leaf", vector_to_array(F.col(LEAF))).withColumn("_table", one)
-
-    def mean(side):
-        terms = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
-                            lambda t: F.get(F.get(F.col(f"_table.{side}"), t), F.get("_leaf", t).cast("int")))
-        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / trees
-    return out.withColumn("q05", mean("low")).withColumn("q95", mean("high")).drop("_leaf", "_table")
+def train_point(assembled: DataFrame, prep: features.Prep, alpha: float | None = None, **params) -> boost.Boosted:
+    """Boosted trees for the price or its quantile ``alpha``, fitted on the rows of split
+    ``train`` and stopped by those of ``val``."""
+    rows = assembled.filter(F.col("split").isin("train", "val"))
+    return boost.boost(rows, C.TARGET, VECTOR, F.col("split") == "val", alpha, _bins(prep), **{"seed": SEED, **params})
+
+
+def together(*builds):
+    """Results of independent fits, run side by side: their many small jobs fill the cluster."""
+    with ThreadPoolExecutor(len(builds)) as pool:
+        return [f.result() for f in [pool.submit(b) for b in builds]]
 
 
 def predict_raw(assembled: DataFrame, bundle: Bundle) -> DataFrame:
     """estimate, q05, q95."""
-    x = bundle.forest.transform(bundle.point.transform(assembled))
-    return _leaf_average(x, bundle).drop("forest", LEAF)
+    x = bundle.point.transform(assembled)
+    for side, out in (("low", "q05"), ("high", "q95")):
+        q = bundle.quantiles[side]
+        x = boost.predict_steps(x, getattr(bundle, side), q["base"], q["steps"], q["rate"], out)
+    return x
 
 
 def score(df: DataFrame, bundle: Bundle, keep: list[str] = ("asset_id",)) -> DataFrame:
@@ -142,10 +109,11 @@ def train_bundle(listings: DataFrame, split: DataFrame, **params) -> Bundle:
     prep = features.fit(train)
     x = assemble(rows, prep).select("asset_id", C.TARGET, "split", VECTOR).persist()
     try:
-        point = train_point(x, prep, **params)
-        forest, low, high = train_quantile(x.filter("split = 'train'"), prep,
-                                           (evaluate.ALPHA_LOW, evaluate.ALPHA_HIGH))
-        b = Bundle(prep, vector_names(prep), point, forest, low, high)
+        point, low, high = together(*[lambda a=a: train_point(x, prep, a, **params) for a in (None, evaluate.ALPHA_LOW, evaluate.ALPHA_HIGH)])
+        parts = {"point": point, "low": low, "high": high}
+        b = Bundle(prep, vector_names(prep), point.trees.setPredictionCol("estimate"), low.trees, high.trees,
+                   {k: {"base": parts[k].base, "steps": parts[k].steps, "rate": parts[k].rate} for k in ("low", "high")},
+                   rounds={k: {"best": v.best, "run": len(v.curve) - 1, "losses": v.curve} for k, v in parts.items()})
         raw = predict_raw(x, b)
         b.calibration_q = float(evaluate.cqr_calibrate(
             raw.filter("split = 'val'"), C.TARGET, "q05", "q95").first()["calibration_q"])
@@ -223,11 +191,14 @@ def ablate(rows: DataFrame, score_col: str, **params) -> DataFrame:
     result = None
     fit_rows = rows.withColumn("split", F.expr("case stage when 'fit' then 'train' when 'stop' then 'val' else 'test' end"))
     roles = C.feature_roles()
-    for name, extra in (("without", []), ("with", [score_col])):
+
+    def fit(extra: list[str]):
         prep = features.fit(fit_rows.filter("split = 'train'"), numeric=[*roles.numeric, *extra])
         x = assemble(fit_rows, prep)
-        model = train_point(x, prep, **params)
-        m = evaluate.metrics(model.transform(x.filter("split = 'test'")), C.TARGET, "estimate").withColumn(
+        return train_point(x, prep, **params), x
+
+    for name, (model, x) in zip(("without", "with"), together(lambda: fit([]), lambda: fit([score_col]))):
+        m = evaluate.metrics(model.apply(x.filter("split = 'test'"), "estimate"), C.TARGET, "estimate").withColumn(
             "variant", F.lit(name))
         result = m if result is None else result.unionByName(m)
     return evaluate.metric_deltas(result, "variant", "without", "with")

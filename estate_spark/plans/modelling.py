@@ -96,7 +96,7 @@ def bundle(spark, sf):
 def train_point(spark, sf):
     b = bundle(spark, sf)
     x = models.assemble(curate.curated(spark, sf).join(split(spark, sf), "asset_id"), b.prep)
-    return evaluate.metrics(b.point.transform(x), "price", "estimate", ["split"])
+    return evaluate.metrics(b.point.transform(x), "price", "estimate", ["split"]).withColumn("best_round", F.lit(b.rounds["point"]["best"]))
 
 
 @query("train_quantile")
