@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from estate_spark.session import written
+
 SMALL_ROWS = 2_000_000
 _FAN = 32                       # 32 x 32 = 1024 buckets, found by two short scans
 SERIES, VALUE, WEIGHT = "series", "value", "weight"
@@ -245,6 +247,55 @@ def hash_rank(df: DataFrame, key: str, seed: int, by: list[str] = (),
             .drop("_h", "_b", "_r", "_off", "_right__b", *[f"_right_{c}" for c in by]))
 
 
+def hash_cutoffs(df: DataFrame, key: str, seed: int, by: list[str], wanted: Callable[[Column], list[Column]],
+                 buckets_log2: int = 14) -> DataFrame:
+    """by..., class_rows, cut0, cut1, ...: per class the (hash, key) of the rows at the wanted
+    0-based ranks in hash order, null for a rank beyond the class.
+
+    Rows are counted per hash bucket, which combines map-side; only those in the buckets of the
+    cut-offs, 1 in 2^14 each, are shuffled and ordered. To keep the first r rows of a class,
+    compare every row with its class's cut-off (``before_cutoff``): no row has to move.
+    Rows without a key have no rank.
+    """
+    by = list(by)
+    h = df.filter(F.col(key).isNotNull()).select(*by, F.col(key).alias("_k"), seeded_hash(key, seed).alias("_h"))
+    h = h.withColumn("_b", F.shiftright("_h", HASH_BITS - buckets_log2))
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = h.groupBy(*by, "_b").agg(F.count("*").alias("_n")).select(
+        *by, "_b", "_n", (F.sum("_n").over(w) - F.col("_n")).alias("_off"), F.sum("_n").over(Window.partitionBy(*by)).alias("class_rows"))
+    totals = written(totals, "hash-buckets")                 # classes x 2^14 rows at most
+    wants = wanted(F.col("class_rows"))
+    places = F.array(*[F.struct(F.lit(i).alias("_i"), r.cast("bigint").alias("_r")) for i, r in enumerate(wants)])
+    located = totals.select(*by, "_b", "_n", "_off", F.explode(places).alias("_p")).select(
+        *by, "_b", "_p._i", (F.col("_p._r") - F.col("_off")).alias("_rest"), "_n").filter("_rest >= 0 and _rest < _n").drop("_n")
+    located = written(located, "hash-cutoffs").withColumnsRenamed({c: f"_right_{c}" for c in [*by, "_b"]})
+    on = reduce(Column.__and__, [F.col("_b") == F.col("_right__b"), *[F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in by]])
+    near = h.join(few(located), on).withColumn("_at", F.row_number().over(
+        Window.partitionBy(*by, "_i").orderBy("_h", "_k")))
+    cuts = near.filter(F.col("_at") == F.col("_rest") + 1).groupBy(*by).agg(*[
+        F.max(F.when(F.col("_i") == i, F.struct("_h", "_k"))).alias(f"cut{i}") for i in range(len(wants))])
+    classes = totals.groupBy(*by).agg(F.max("class_rows").alias("class_rows"))
+    if not by:
+        return classes.join(cuts, F.lit(True), "left")
+    cuts = cuts.withColumnsRenamed({c: f"_right_{c}" for c in by})
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in by])
+    return classes.join(cuts, on, "left").drop(*[f"_right_{c}" for c in by])
+
+
+FEW_ROWS = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A table with a broadcast hint where a count says it has at most FEW_ROWS rows."""
+    return F.broadcast(df) if is_small(df, FEW_ROWS) else df
+
+
+def before_cutoff(key: str, seed: int, cut: Column) -> Column:
+    """Whether a row comes before the (hash, key) ``cut`` in hash order; always, without one."""
+    h = seeded_hash(key, seed)
+    return cut.isNull() | (h < cut["_h"]) | ((h == cut["_h"]) & (F.col(key) < cut["_k"]))
+
+
 def ceil_share(n: Column, share: float) -> Column:
     """ceil(share * n) as a long, the product taken in doubles."""
     return F.ceil(n * F.lit(float(share))).cast("bigint")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estate_spark.operators import ranks
+from estate_spark.session import written
 
 # fixed values
 SEED = 42
@@ -15,19 +16,21 @@ N_FOLDS, STOP_SHARE = 5, 0.1
 
 def split_3way(df: DataFrame, key: str = "asset_id", seed: int = SEED, exact: bool = True) -> DataFrame:
     """key, split with exactly ceil(0.2 n) test rows and ceil(0.2 of the rest) val rows, in
-    hash order; ``exact=False`` compares the hash with fixed cut-offs instead (no shuffle,
-    shares right on average)."""
+    hash order: every row is compared with the rows at the two cut-offs. ``exact=False``
+    compares the hash with fixed cut-offs instead (shares right on average)."""
     ids = df.select(key)
     if not exact:
         share = ranks.seeded_hash(key, seed) / F.lit(float(2 ** ranks.HASH_BITS))
         val_end = TEST_SHARE + (1 - TEST_SHARE) * VAL_SHARE_OF_REST
         return ids.select(key, F.when(share < TEST_SHARE, "test").when(share < val_end, "val")
                           .otherwise("train").alias("split"))
-    r = ranks.hash_rank(ids.withColumn("_all", F.lit(1)), key, seed, ["_all"])
-    n_test = ranks.ceil_share(F.col("class_rows"), TEST_SHARE)
-    n_val = ranks.ceil_share(F.col("class_rows") - n_test, VAL_SHARE_OF_REST)
-    return r.select(key, F.when(F.col("hash_rank") < n_test, "test")
-                    .when(F.col("hash_rank") < n_test + n_val, "val").otherwise("train").alias("split"))
+    def wanted(n: Column) -> list[Column]:
+        test = ranks.ceil_share(n, TEST_SHARE)
+        return [test, test + ranks.ceil_share(n - test, VAL_SHARE_OF_REST)]
+
+    cuts = written(ranks.hash_cutoffs(ids, key, seed, [], wanted), "split-cutoffs")
+    test, val = (ranks.before_cutoff(key, seed, cuts.select(c).scalar()) for c in ("cut0", "cut1"))
+    return ids.filter(F.col(key).isNotNull()).select(key, F.when(test, "test").when(val, "val").otherwise("train").alias("split"))
 
 
 def hash_sample(df: DataFrame, key: str, share: float, seed: int = SEED) -> DataFrame:
@@ -46,11 +49,13 @@ def held_out(group: str, share: float = STOP_SHARE, seed: int = SEED) -> Column:
 
 def stratified_sample(df: DataFrame, key: str, label: str, n: int, seed: int = SEED) -> DataFrame:
     """Per class the first ceil(class share x n) rows in hash order, then at most n rows in
-    all, again in hash order. Classes and the whole may hold any number of rows: ranks come
-    from hash buckets, not from a one-task window."""
-    r = ranks.hash_rank(df, key, seed, [label])
-    total = df.agg(F.count("*").alias("t")).scalar()
-    quota = F.ceil(F.col("class_rows") / total * F.lit(float(n)))
-    picked = r.filter(F.col("hash_rank") < quota).drop("hash_rank", "class_rows")
-    cut = ranks.hash_rank(picked.withColumn("_all", F.lit(1)), key, seed, ["_all"])
-    return cut.filter(F.col("hash_rank") < n).drop("_all", "hash_rank", "class_rows")
+    all, again in hash order. Rows are compared with their class's cut-off where they lie;
+    only what is below it, about n rows, is written and cut once more."""
+    total = df.filter(F.col(key).isNotNull()).count()
+    quota = F.ceil(F.try_divide(F.col("class_rows"), F.lit(total)) * F.lit(float(n)))
+    cuts = written(ranks.hash_cutoffs(df, key, seed, [label], lambda rows: [quota]), "sample-cutoffs").select(F.col(label).alias("_class"), F.col("cut0").alias("_cut"))
+    below = df.filter(F.col(key).isNotNull()).join(ranks.few(cuts), F.col(label).eqNullSafe(F.col("_class"))).filter(
+        ranks.before_cutoff(key, seed, F.col("_cut"))).select(*df.columns)
+    picked = written(below, "sample")
+    cut = written(ranks.hash_cutoffs(picked, key, seed, [], lambda rows: [F.lit(n)]), "sample-cutoff")
+    return picked.filter(ranks.before_cutoff(key, seed, cut.select("cut0").scalar()))
