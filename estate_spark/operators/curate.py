@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -92,15 +92,10 @@ def trim_outliers(df: DataFrame, cols: list[str] = C.OUTLIER_COLUMNS) -> DataFra
     return df.filter(within_bounds(df, quantile_bounds(df, cols), cols))
 
 
-def funnel(stages: dict[str, DataFrame], matched: DataFrame) -> DataFrame:
-    """stage, rows_kept for every stage in order, then the zone match count."""
-    out = None
-    frames = [*stages.items(), ("zone_match", matched)]
-    for i, (name, df) in enumerate(frames):
-        one = df.agg(F.count("*").alias("rows_kept")).select(
-            F.lit(i).alias("step"), F.lit(name).alias("stage"), "rows_kept")
-        out = one if out is None else out.unionByName(one)
-    return out
+def funnel(spark: SparkSession, stages: dict[str, int]) -> DataFrame:
+    """step, stage, rows_kept for every stage in order."""
+    return spark.createDataFrame([(i, name, n) for i, (name, n) in enumerate(stages.items())],
+                                 "step int, stage string, rows_kept long")
 
 
 # ---------------------------------------------------------------- pipeline stages
@@ -112,11 +107,19 @@ def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe_latest(prepared(raw(spark, sf_dir)), "asset_id", ["period", "LISTING_SEQ"])
 
 
+def _valid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
+    def build():
+        kept, passed = Observation(), Observation()
+        df = deduped(spark, sf_dir).observe(kept, F.count(F.lit(1)).alias("n"))
+        out = written(hard_validity(df).observe(passed, F.count(F.lit(1)).alias("n")), "valid")
+        return out, {"deduped": kept.get["n"], "valid": passed.get["n"]}
+    return once(spark, ("valid", sf_dir), build)
+
+
 def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated valid rows, written once: the trim reads them for the bounds and again
     for the filter, and must see the same rows both times."""
-    return once(spark, ("valid", sf_dir),
-                lambda: written(hard_validity(deduped(spark, sf_dir)), "valid"))
+    return _valid(spark, sf_dir)[0]
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,10 +128,23 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
         load_zones(src.raw_zones(spark, sf_dir)).withColumn("zone_order", F.col("LOCATIONID")), "zones"))
 
 
-def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The processed listings table, written once per application."""
+def _curated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
     def build():
-        trimmed = trim_outliers(valid(spark, sf_dir))
-        return written(C.project_contract(spatial.pip_join(trimmed, zones(spark, sf_dir))),
-                       "listings")
+        seen = Observation()
+        # the join keeps every trimmed row once
+        df = C.project_contract(spatial.pip_join(trim_outliers(valid(spark, sf_dir)), zones(spark, sf_dir)))
+        out = written(df.observe(seen, F.count(F.lit(1)).alias("trimmed"), F.count("neighborhood_id").alias("zone_match")), "listings")
+        return out, dict(seen.get)
     return once(spark, ("curated", sf_dir), build)
+
+
+def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processed listings table, written once per application."""
+    return _curated(spark, sf_dir)[0]
+
+
+def stage_counts(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """Rows of every stage. Those from the deduplication on were counted while their table was
+    written, in its last stage, whose tasks count once also when executors are lost; the raw
+    rows lie before a shuffle, where repeated tasks would count again, and are counted alone."""
+    return {"raw": raw(spark, sf_dir).count(), **_valid(spark, sf_dir)[1], **_curated(spark, sf_dir)[1]}

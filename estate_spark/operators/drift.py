@@ -1,14 +1,20 @@
-"""Input drift between two frames: PSI and the two-sample Kolmogorov-Smirnov test."""
+"""Input drift between two frames: PSI and the two-sample Kolmogorov-Smirnov test.
+
+All of it is computed from one state, the number of reference and of current rows per feature
+and value. States add up: those of batches merge to that of all their rows, so a stream can
+add each batch's counts to a folder and read the drift of everything seen so far.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from estate_spark import contract as C
 from estate_spark.functions.text import fixed
 from estate_spark.operators import ranks
+from estate_spark.session import written
 
 # fixed values
 PSI_FLAG, PSI_BINS, PSI_FLOOR = 0.2, 10, 1e-6
@@ -23,10 +29,55 @@ def numeric_features(reference: DataFrame, current: DataFrame) -> list[str]:
     return [c for c in names if row[c] > 0 and c in current.columns]
 
 
-def _sides(reference: DataFrame, current: DataFrame, cols: list[str]) -> DataFrame:
-    ref = ranks.long_format(reference, cols, []).select("series", "value", F.lit(1).alias("ref"), F.lit(0).alias("cur"))
-    cur = ranks.long_format(current, cols, []).select("series", "value", F.lit(0).alias("ref"), F.lit(1).alias("cur"))
-    return ref.unionByName(cur)
+def state(reference: DataFrame | None, current: DataFrame | None, cols: list[str]) -> DataFrame:
+    """series, value, ref, cur: rows of each side per feature and value; one pass a side."""
+    out = None
+    for df, ref in ((reference, 1), (current, 0)):
+        if df is not None:
+            side = ranks.long_format(df, cols, []).select("series", "value", F.lit(ref).alias("ref"), F.lit(1 - ref).alias("cur"))
+            out = side if out is None else out.unionByName(side)
+    return merged(out)
+
+
+def merged(states: DataFrame) -> DataFrame:
+    """The state of all rows that the given states count."""
+    return states.groupBy("series", "value").agg(F.sum("ref").cast("bigint").alias("ref"), F.sum("cur").cast("bigint").alias("cur"))
+
+
+def add_batch(batch: DataFrame, batch_id: int, folder: str, cols: list[str], side: str = "cur") -> None:
+    """Store the counts of one batch; the same batch again replaces itself, so this can be a
+    stream's foreachBatch."""
+    one = state(batch, None, cols) if side == "ref" else state(None, batch, cols)
+    one.write.mode("overwrite").parquet(f"{folder}/side={side}/batch={batch_id}")
+
+
+def read_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The merged state of all batches in a folder."""
+    stored = spark.read.schema("series string, value double, ref long, cur long, side string, batch string").parquet(folder)
+    return merged(stored.drop("side", "batch"))
+
+
+def ranked(counts: DataFrame, small: bool | None = None) -> DataFrame:
+    """A state with the running and total counts of both sides, written once for all readers."""
+    counts = written(counts, "drift-state")
+    return written(ranks.running_counts(counts, [], ["ref", "cur"], ranks.is_small(counts) if small is None else small), "drift-ranks")
+
+
+def ref_quantiles(r: DataFrame, qs: list[float]) -> DataFrame:
+    """series, q: the reference's quantiles, interpolated between the rows next to (n-1)q."""
+    start, end = F.col("ref_before"), F.col("ref_before") + F.col("ref")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((start <= rank) & (rank < end), F.col("value")))
+
+    pos = [(F.col("ref_total") - 1) * F.lit(float(q)) for q in qs]
+    found = r.filter("ref > 0").groupBy("series", "ref_total").agg(*[
+        at(g(p)).alias(f"{n}{i}") for i, p in enumerate(pos) for n, g in (("lo", F.floor), ("hi", F.ceil))])
+    steps = []
+    for i, p in enumerate(pos):
+        share = p - F.floor(p)
+        steps.append(F.when(share == 0, F.col(f"lo{i}")).otherwise(F.col(f"lo{i}") * (1 - share) + F.col(f"hi{i}") * share))
+    return found.select("series", F.array(*steps).alias("q"))
 
 
 def psi_term(ref_share: Column, cur_share: Column) -> Column:
@@ -34,21 +85,12 @@ def psi_term(ref_share: Column, cur_share: Column) -> Column:
     return (c - r) * F.ln(c / r)
 
 
-def psi_bins(reference: DataFrame, current: DataFrame, cols: list[str], bins: int = PSI_BINS,
-             small: bool | None = None) -> DataFrame:
-    """series, bin, n_ref, n_cur over the reference's quantile bins, empty bins included.
-
-    Rows are counted per (feature, bin) map-side; only bin counts are shuffled.
-    """
-    qs = [i / bins for i in range(bins + 1)]
-    # at most bins+1 edges per contract column, fixed before the rows are counted
-    edges = {r["series"]: sorted({r[ranks._label(x)] for x in qs})
-             for r in ranks.quantile_rows(reference, cols, qs, small=small).collect()}
-    spark = reference.sparkSession
-    table = spark.createDataFrame([(c, len(e), e[1:-1]) for c, e in edges.items()],
-                                  "series string, n_edges int, inner array<double>")
-    placed = _sides(reference, current, cols).join(F.broadcast(table), "series").withColumn(
-        "bin", F.size(F.filter("inner", lambda e: e <= F.col("value"))))
+def psi_bins(r: DataFrame, bins: int = PSI_BINS) -> DataFrame:
+    """series, n_edges, bin, n_ref, n_cur over the reference's quantile bins, empty bins included."""
+    # at most bins+1 edges per contract column
+    edges = ref_quantiles(r, [i / bins for i in range(bins + 1)]).select("series", F.array_sort(F.array_distinct("q")).alias("e"))
+    table = written(edges.select("series", F.size("e").alias("n_edges"), F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))).alias("inner")), "drift-edges")
+    placed = r.join(F.broadcast(table), "series").withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("value"))))
     counts = placed.groupBy("series", "bin").agg(F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"))
     grid = table.select("series", "n_edges", F.explode(
         F.sequence(F.lit(0), F.greatest(F.col("n_edges") - 2, F.lit(0)))).alias("bin"))
@@ -58,7 +100,11 @@ def psi_bins(reference: DataFrame, current: DataFrame, cols: list[str], bins: in
 def psi(reference: DataFrame, current: DataFrame, cols: list[str], bins: int = PSI_BINS,
         small: bool | None = None) -> DataFrame:
     """feature, psi: 0 with fewer than two distinct edges, NaN when a side is empty."""
-    b = psi_bins(reference, current, cols, bins, small)
+    return psi_of(ranked(state(reference, current, cols), small), cols, bins)
+
+
+def psi_of(r: DataFrame, cols: list[str], bins: int = PSI_BINS) -> DataFrame:
+    b = psi_bins(r, bins)
     w = Window.partitionBy("series")        # as many rows as bins
     terms = b.select("*", F.sum("n_ref").over(w).alias("t_ref"), F.sum("n_cur").over(w).alias("t_cur"))
     terms = terms.withColumn("term", psi_term(
@@ -91,8 +137,10 @@ def kolmogorov_p(d: Column, n1: Column, n2: Column) -> Column:
 
 def ecdf(reference: DataFrame, current: DataFrame, cols: list[str], small: bool | None = None) -> DataFrame:
     """series, value, and both cumulative shares at every distinct value."""
-    small = ranks.is_small(reference) and ranks.is_small(current) if small is None else small
-    r = ranks.running_counts(_sides(reference, current, cols), [], ["ref", "cur"], small)
+    return ecdf_of(ranked(state(reference, current, cols), small))
+
+
+def ecdf_of(r: DataFrame) -> DataFrame:
     return r.select("series", "value", F.col("ref_total").alias("n_ref"), F.col("cur_total").alias("n_cur"),
                     F.try_divide((F.col("ref_before") + F.col("ref")).cast("double"), F.col("ref_total")).alias("cdf_ref"),
                     F.try_divide((F.col("cur_before") + F.col("cur")).cast("double"), F.col("cur_total")).alias("cdf_cur"))
@@ -100,19 +148,28 @@ def ecdf(reference: DataFrame, current: DataFrame, cols: list[str], small: bool
 
 def ks(reference: DataFrame, current: DataFrame, cols: list[str], small: bool | None = None) -> DataFrame:
     """feature, ks_statistic, ks_p_value (NaN when a side has no value)."""
-    e = ecdf(reference, current, cols, small)
-    d = e.groupBy("series").agg(F.max(F.abs(F.col("cdf_ref") - F.col("cdf_cur"))).alias("d"),
-                                F.max("n_ref").alias("n1"), F.max("n_cur").alias("n2"))
+    return ks_of(ranked(state(reference, current, cols), small), cols)
+
+
+def ks_of(r: DataFrame, cols: list[str]) -> DataFrame:
+    d = ecdf_of(r).groupBy("series").agg(F.max(F.abs(F.col("cdf_ref") - F.col("cdf_cur"))).alias("d"),
+                                         F.max("n_ref").alias("n1"), F.max("n_cur").alias("n2"))
     out = d.select(F.col("series").alias("feature"), F.col("d").alias("ks_statistic"),
                    kolmogorov_p(F.col("d"), F.col("n1"), F.col("n2")).alias("ks_p_value"))
     return _every(out, cols, ["ks_statistic", "ks_p_value"])
 
 
 def drift_table(reference: DataFrame, current: DataFrame, small: bool | None = None) -> DataFrame:
-    """feature, psi, ks_statistic, ks_p_value, drifted. A pure function of two frames, so a
-    micro-batch can be the current side. NaN never counts as drift."""
+    """feature, psi, ks_statistic, ks_p_value, drifted. A pure function of two frames; each is
+    read once for the state. NaN never counts as drift."""
     cols = numeric_features(reference, current)
-    both = psi(reference, current, cols, small=small).join(ks(reference, current, cols, small), "feature")
+    return drift_of(state(reference, current, cols), cols, small)
+
+
+def drift_of(counts: DataFrame, cols: list[str], small: bool | None = None) -> DataFrame:
+    """The drift table of a state, whatever batches it was merged from."""
+    r = ranked(counts, small)
+    both = psi_of(r, cols).join(ks_of(r, cols), "feature")
     return both.withColumn("drifted", ~F.isnan("psi") & (F.col("psi") > PSI_FLAG))
 
 

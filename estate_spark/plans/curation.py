@@ -232,12 +232,7 @@ def pip_join(spark, sf):
     UNION ALL SELECT 3, 'trimmed', count(*) FROM trimmed
     UNION ALL SELECT 4, 'zone_match', count(neighborhood_id) FROM listings) q"""))
 def funnel_counts(spark, sf):
-    # every count is of the stage's own frame, so rows lost or doubled on the way show
-    valid = curate.valid(spark, sf)
-    return curate.funnel({
-        "raw": curate.raw(spark, sf), "deduped": curate.deduped(spark, sf), "valid": valid,
-        "trimmed": curate.trim_outliers(valid),
-    }, curate.curated(spark, sf).filter("neighborhood_id is not null"))
+    return curate.funnel(spark, curate.stage_counts(spark, sf))
 
 
 # ------------------------------------------------------------- row rules

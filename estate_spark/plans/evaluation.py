@@ -213,7 +213,7 @@ def psi(spark, sf):
       * ln(greatest(n_cur / c, 1e-6::DOUBLE) / greatest(n_ref / r, 1e-6::DOUBLE)), 6) AS term
     FROM (SELECT *, CAST(sum(n_ref) OVER w AS DOUBLE) AS r, CAST(sum(n_cur) OVER w AS DOUBLE) AS c FROM psi_bins WINDOW w AS (PARTITION BY feature)) q""", *DRIFT, *PSI))
 def psi_term(spark, sf):
-    b = drift.psi_bins(reference_frame(spark, sf), current_frame(spark, sf), COLS)
+    b = drift.psi_bins(drift.ranked(drift.state(reference_frame(spark, sf), current_frame(spark, sf), COLS)))
     t = b.groupBy("series").agg(F.sum("n_ref").alias("r"), F.sum("n_cur").alias("c"))
     return b.join(t, "series").select(F.col("series").alias("feature"), F.col("bin").cast("bigint").alias("bin"), F.round(
         drift.psi_term(F.col("n_ref").cast("double") / F.col("r"), F.col("n_cur").cast("double") / F.col("c")), 6).alias("term"))
