@@ -10,8 +10,8 @@ The items must be few beside the corpus: a block holds at most ``BLOCK_WINDOWS``
 bounds what is sent to the workers; more windows make more blocks, each scanned in its own pass
 over the texts, and the passes' hits are united. Nothing is left out at any number of items.
 
-Defined results: null and wordless texts have no words and no hits; null and wordless items
-occur nowhere; a repeated item id counts once; equal rows are judged alike and all stay;
+Defined results: null and wordless texts have no words and no hits; items with null or wordless
+texts occur nowhere; a null item id is the empty string; a repeated item id counts once; equal rows are judged alike and all stay;
 empty tables give no hits or no rows; other columns are ignored (``drop`` returns them all).
 """
 
@@ -46,10 +46,10 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = normal_words(text)
                 found = {b" ".join(w[i:i + window]) for i in range(max(1, len(w) - window + 1))} if w else set()
-                if found and item is not None:
+                if found:
                     yield pa.RecordBatch.from_arrays([pa.array([item] * len(found)), pa.array(sorted(found), pa.binary())], names=["item_id", "pattern"])
 
-    rows = items.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string"))
     return rows.mapInArrow(cut, "item_id string, pattern binary").distinct()
 
 
