@@ -1,18 +1,23 @@
-"""Feature preparation fitted on the train rows, applied as plain column expressions."""
+"""Feature preparation fitted on the train rows, applied as column expressions and, for
+categories, as a join with a dictionary of levels that may be of any size."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from estate_spark import contract as C
 from estate_spark.operators import ranks
+from estate_spark.session import written
 
 YEAR_MISSING = "year_missing"
 YEAR_SOURCE = "construction_year"
-MAX_LEVELS = 10_000
+#: Spark's trees hold a histogram bin a level in every task; wider columns go to one_hot.
+TREE_LEVELS = 10_000
 
 
 @dataclass
@@ -27,10 +32,45 @@ class Prep:
 
 
 def fit_levels(df: DataFrame, cols: list[str]) -> DataFrame:
-    """column_name, levels: the sorted distinct non-null values of each column."""
-    one = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in cols])
-    return one.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("levels")) for c in cols])).alias("r")).select("r.*")
+    """column_name, level, idx: the distinct non-null values of each column, numbered densely
+    in order. Levels are sorted by range partitions; a partition's share of a column starts at
+    the count of those before it, so no task and no driver holds a column's levels."""
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("level")) for c in cols])).alias("r"))
+    distinct = cells.select("r.*").filter("level is not null").distinct()
+    placed = written(distinct.repartitionByRange("column_name", "level").withColumn("_part", F.spark_partition_id()), "levels")
+    before = Window.partitionBy("column_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("column_name", "_part").agg(F.count("*").alias("_n")).select(
+        "column_name", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inner = F.row_number().over(Window.partitionBy("column_name", "_part").orderBy("level"))
+    numbered = placed.withColumn("_at", inner).join(starts, ["column_name", "_part"])
+    return written(numbered.select("column_name", "level", (F.col("_start") + F.col("_at") - 1).alias("idx")), "level-dictionary")
+
+
+def level_counts(levels: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Levels of each column."""
+    found = {r["column_name"]: r["count"] for r in levels.groupBy("column_name").count().collect()}
+    return {c: found.get(c, 0) for c in cols}
+
+
+def encode(df: DataFrame, levels: DataFrame, cols: list[str]) -> DataFrame:
+    """<col>_index: number of the row's level, null when unseen or null. A dictionary is
+    broadcast up to a counted size; beyond, the join shuffles and adaptive execution splits the
+    rows of a frequent level."""
+    out = df
+    for c in cols:
+        mine = levels.filter(F.col("column_name") == c).select(F.col("level").alias("_level"), F.col("idx").alias(f"{c}_index"))
+        out = out.join(ranks.few(mine), F.col(c).cast("string") == F.col("_level"), "left").drop("_level")
+    return out
+
+
+def one_hot(df: DataFrame, levels: DataFrame, cols: list[str]) -> DataFrame:
+    """<col>_onehot: a sparse vector a column with a slot a level and a last one for unseen or
+    null values; its size doesn't depend on the number of levels."""
+    sizes = level_counts(levels, cols)
+    indexed = encode(df, levels, cols).withColumns({f"{c}_index": F.coalesce(f"{c}_index", F.lit(sizes[c])).cast("double") for c in cols})
+    encoder = OneHotEncoder(inputCols=[f"{c}_index" for c in cols], outputCols=[f"{c}_onehot" for c in cols], dropLast=False)
+    widest = df.sparkSession.createDataFrame([tuple(float(sizes[c]) for c in cols)], [f"{c}_index" for c in cols])
+    return encoder.fit(widest).transform(indexed).drop(*[f"{c}_index" for c in cols])
 
 
 def impute(df: DataFrame, prep: Prep) -> DataFrame:
@@ -45,30 +85,10 @@ def standardize(df: DataFrame, prep: Prep) -> DataFrame:
     return df.withColumns({c: (F.col(c) - F.lit(prep.means[c])) / F.lit(prep.stds[c]) for c in prep.numeric})
 
 
-def encode(df: DataFrame, prep: Prep) -> DataFrame:
-    """<col>_index: position among the train levels, null when unseen or null."""
-    def index(c: str) -> Column:
-        levels = F.array(*[F.lit(v) for v in prep.levels[c]]).cast("array<string>")
-        pos = F.array_position(levels, F.col(c))
-        return F.when(pos > 0, pos - 1)
-    return df.withColumns({f"{c}_index": index(c) for c in prep.categorical})
-
-
-def one_hot(df: DataFrame, prep: Prep) -> DataFrame:
-    """<col>__<level> 0/1 columns and one for unseen or null values."""
-    cols = {}
-    for c in prep.categorical:
-        for level in prep.levels[c]:
-            cols[f"{c}__{level}"] = F.coalesce((F.col(c) == level).cast("double"), F.lit(0.0))
-        known = F.coalesce(F.col(c).isin(prep.levels[c]), F.lit(False))
-        cols[f"{c}__unknown"] = (~known).cast("double")
-    return df.withColumns(cols)
-
-
 def fit(train: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None,
         small: bool | None = None) -> Prep:
     """Three one-row aggregates over the train rows: medians, then moments of the imputed
-    columns, and the level lists (refused beyond a size no category column should have)."""
+    columns, and the level lists of the tree models' categories."""
     roles = C.feature_roles()
     prep = Prep(list(numeric or roles.numeric), list(roles.categorical if categorical is None else categorical))
     med = ranks.medians(train, prep.numeric, small=small).first()
@@ -79,11 +99,12 @@ def fit(train: DataFrame, numeric: list[str] | None = None, categorical: list[st
     prep.means = {c: mom[f"m_{c}"] for c in prep.numeric}
     prep.stds = {c: mom[f"s_{c}"] or 1.0 for c in prep.numeric}
     if prep.categorical:
-        sizes = train.agg(*[F.approx_count_distinct(c).alias(c) for c in prep.categorical]).first()
-        wide = [c for c in prep.categorical if sizes[c] > MAX_LEVELS]
+        levels = fit_levels(train, prep.categorical)
+        wide = [c for c, n in level_counts(levels, prep.categorical).items() if n > TREE_LEVELS]
         if wide:
-            raise ValueError(f"too many levels for category columns: {wide}")
-        prep.levels = {r["column_name"]: r["levels"] for r in fit_levels(train, prep.categorical).collect()}
+            raise ValueError(f"too many levels for the trees' category columns: {wide}")
+        rows = levels.orderBy("column_name", "idx").collect()     # at most TREE_LEVELS a column
+        prep.levels = {c: [r["level"] for r in rows if r["column_name"] == c] for c in prep.categorical}
     return prep
 
 

@@ -139,10 +139,12 @@ def train_alt(listings: DataFrame, split: DataFrame) -> DataFrame:
     and one-hot features; returns asset_id, split, price, estimate of all rows."""
     rows = listings.join(split, "asset_id")
     train = rows.filter("split = 'train'")
-    prep = features.fit(train)
+    categories = list(C.feature_roles().categorical)
+    prep = features.fit(train, categorical=[])
     mean, std = features.log_target_stats(train)
-    x = features.standardize(features.impute(features.one_hot(rows, prep), prep), prep)
-    cols = [*prep.numeric, features.YEAR_MISSING, *[c for c in x.columns if "__" in c]]
+    levels = features.fit_levels(train, categories)
+    x = features.standardize(features.impute(features.one_hot(rows, levels, categories), prep), prep)
+    cols = [*prep.numeric, features.YEAR_MISSING, *[f"{c}_onehot" for c in categories]]
     x = VectorAssembler(inputCols=cols, outputCol=VECTOR).transform(x).select(
         "asset_id", "split", C.TARGET, VECTOR, features.to_log_target(C.TARGET, mean, std).alias("z"))
     model = LinearRegression(featuresCol=VECTOR, labelCol="z", predictionCol="zhat", regParam=0.01,

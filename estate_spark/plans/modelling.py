@@ -6,11 +6,10 @@ the tests; everything that is arithmetic on rows or on a linear model has check
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector  # noqa: F401  (registers the converters)
 from pyspark.sql import functions as F
 
 from estate_spark import contract as C
-from estate_spark.operators import curate, evaluate, explain, features, models, sampling
+from estate_spark.operators import curate, evaluate, explain, features, models, ranks, sampling
 from estate_spark.functions import labels, text
 from estate_spark.plans.base_sql import on_listings, on_split
 from estate_spark.plans.registry import query
@@ -31,18 +30,23 @@ def small_prep(spark, sf):
     return once(spark, ("prep", sf), lambda: features.fit(train_rows(spark, sf), NUM, CAT))
 
 
+def level_table(spark, sf):
+    return once(spark, ("levels", sf), lambda: features.fit_levels(train_rows(spark, sf), CAT))
+
+
 @query("category_levels", on_split(" UNION ALL ".join(
     f"SELECT '{c}' AS column_name, string_agg(v, ',' ORDER BY v) AS levels FROM (SELECT DISTINCT {c} AS v FROM train WHERE {c} IS NOT NULL) q_{c}"
     for c in CAT), TRAIN))
 def category_levels(spark, sf):
-    return features.fit_levels(train_rows(spark, sf), CAT).withColumn("levels", F.array_join("levels", ","))
+    rows = level_table(spark, sf).groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("idx", "level"))).alias("r"))
+    return rows.select("column_name", F.array_join("r.level", ",").alias("levels"))
 
 
 @query("category_encode", on_split("SELECT asset_id, " + ", ".join(
     f"(SELECT count(DISTINCT t.{c}) FROM train t WHERE t.{c} < l.{c}) + CASE WHEN l.{c} IN (SELECT {c} FROM train) THEN 0 ELSE NULL END AS {c}_index"
     for c in CAT) + " FROM listings l", TRAIN))
 def category_encode(spark, sf):
-    e = features.encode(curate.curated(spark, sf), small_prep(spark, sf))
+    e = features.encode(curate.curated(spark, sf), level_table(spark, sf), CAT)
     return e.select("asset_id", *[f"{c}_index" for c in CAT])
 
 
@@ -70,11 +74,12 @@ def standardize(spark, sf):
     f"SELECT asset_id, CASE WHEN {c} IN (SELECT {c} FROM train) THEN concat('{c}__', {c}) ELSE '{c}__unknown' END AS slot FROM listings"
     for c in CAT), TRAIN))
 def onehot_unknown(spark, sf):
-    """The columns set to 1, by name: which columns exist depends on the train levels."""
-    x = features.one_hot(curate.curated(spark, sf), small_prep(spark, sf))
-    slots = [c for c in x.columns if "__" in c]
-    return x.select("asset_id", F.explode(F.array(*[F.when(F.col(c) == 1.0, c) for c in slots])).alias("slot")).filter(
-        "slot is not null")
+    """The slots set to 1, by name: which slots exist depends on the train levels."""
+    levels = level_table(spark, sf)
+    x = features.encode(curate.curated(spark, sf), levels, CAT)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}_index").alias("idx")) for c in CAT])).alias("r")
+    rows = x.select("asset_id", cells).select("asset_id", "r.*").join(ranks.few(levels), ["column_name", "idx"], "left")
+    return rows.select("asset_id", F.concat("column_name", F.lit("__"), F.coalesce("level", F.lit("unknown"))).alias("slot"))
 
 
 _LOG = "(SELECT avg(ln(price)) AS m, stddev_pop(ln(price)) AS s FROM train) st"

@@ -142,8 +142,9 @@ def test_zero_std_counts_as_one_and_unseen_level(spark):
     p = features.fit(tr, ["x", "construction_year"], ["c"])
     assert p.stds["x"] == 1.0
     new = spark.createDataFrame([(None, None, "zzz")], "x double, construction_year long, c string")
-    r = features.one_hot(features.encode(features.standardize(features.impute(new, p), p), p), p).first()
-    assert (r["x"], r["year_missing"], r["c_index"], r["c__unknown"], r["c__a"]) == (0.0, 1.0, None, 1.0, 0.0)
+    levels, filled = features.fit_levels(tr, ["c"]), features.standardize(features.impute(new, p), p)
+    r, hot = features.encode(filled, levels, ["c"]).first(), features.one_hot(filled, levels, ["c"]).first()
+    assert (r["x"], r["year_missing"], r["c_index"], hot["c_onehot"].toArray().tolist()) == (0.0, 1.0, None, [0.0, 0.0, 1.0])
 
 
 def test_placeholder_is_dropped_from_posted_rows(spark):
