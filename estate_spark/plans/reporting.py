@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from estate_spark import contract as C
 from estate_spark.functions import text
-from estate_spark.operators import comps, curate, energy, report
+from estate_spark.operators import curate, report, valuation
 from estate_spark.plans.base_sql import on_listings, on_split
-from estate_spark.plans.modelling import DRIVERS, LINEAR, TRAIN, explained
+from estate_spark.plans.modelling import DRIVERS, LINEAR, TRAIN, bundle, explained
 from estate_spark.plans.neighbours import BAND, COMPS, GAP, PAIRS, all_comps, subjects
 from estate_spark.plans.registry import query
 from estate_spark.plans.sampling import split
 from estate_spark.session import once, written
 from estate_spark.sources import io
 
-COVERAGE = 0.903
 LF = "chr(10)"
 
 
@@ -102,17 +102,21 @@ def plural_s(spark, sf):
 
 
 # ---------------------------------------------------------------- cases
-VAL = ("vals", """SELECT t.asset_id AS subject_id, prediction AS estimate, 0.75::DOUBLE * prediction AS low, 1.25::DOUBLE * prediction AS high, driver_text
-    FROM driver_texts t JOIN split s ON s.asset_id = t.asset_id WHERE split <> 'test'""")
-CASE = [("my_comps", "SELECT c.* FROM comps c JOIN listings l ON l.asset_id = c.subject_id WHERE l.property_type <> 'duplex'"),
-        ("comp_agg", """SELECT subject_id, count(*) AS n, min(price) AS price_min, max(price) AS price_max, quantile_cont(price, 0.5) AS price_median,
+VAL = [("val_errors", """SELECT e, row_number() OVER (ORDER BY e) AS k, count(*) OVER () AS n FROM (
+          SELECT abs(price - prediction) AS e FROM linear t JOIN listings l ON l.asset_id = t.asset_id JOIN split s ON s.asset_id = t.asset_id WHERE split = 'val') q"""),
+       ("half_width", "SELECT e AS q FROM val_errors WHERE k = least(CAST(ceil((n + 1) * (0.95::DOUBLE - 0.05::DOUBLE)) AS BIGINT), n)"),
+       ("banded", "SELECT asset_id AS subject_id, prediction AS estimate, prediction - q AS low, prediction + q AS high, driver_text FROM driver_texts, half_width"),
+       ("measured", """SELECT avg(CASE WHEN price BETWEEN low AND high THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS covered FROM banded b
+          JOIN listings l ON l.asset_id = b.subject_id JOIN split s ON s.asset_id = b.subject_id WHERE split = 'test'"""),
+       ("vals", "SELECT *, format('{:.1f}', covered * 100) AS covered_pct FROM banded, measured")]
+CASE = [("comp_agg", """SELECT subject_id, count(*) AS n, min(price) AS price_min, max(price) AS price_max, quantile_cont(price, 0.5) AS price_median,
           max(distance_km) AS max_distance_km, string_agg(concat('Comparable ', CAST(rank AS VARCHAR), ': listed at ', format('{:,.0f}', price), ' euros, ', why, ' (listing ', asset_id, ').'), """ + LF + """ ORDER BY rank) AS lines
-          FROM my_comps GROUP BY 1"""),
-        ("cases", """SELECT l.*, l.asset_id AS subject_id, v.estimate, v.low, v.high, v.driver_text, v.subject_id IS NOT NULL AS has_v, a.n, a.price_min, a.price_max, a.price_median,
-          a.max_distance_km, a.lines, a.subject_id IS NOT NULL AS has_c, l.neighborhood_id IS NOT NULL AS has_e, b.band, b.flag, b.effective_year,
+          FROM comps GROUP BY 1"""),
+        ("cases", """SELECT l.*, l.asset_id AS subject_id, v.estimate, v.low, v.high, v.covered_pct, v.driver_text, v.subject_id IS NOT NULL AS has_v, a.n, a.price_min, a.price_max, a.price_median,
+          a.max_distance_km, a.lines, a.subject_id IS NOT NULL AS has_c, b.subject_id IS NOT NULL AS has_e, b.band, b.flag, b.effective_year,
           g.scope, g.n_old, g.n_new, g.median_old_eur_m2, g.median_new_eur_m2, g.gap_eur_m2, g.subject_area_m2, g.subject_gap_eur
           FROM listings l LEFT JOIN vals v ON v.subject_id = l.asset_id LEFT JOIN comp_agg a ON a.subject_id = l.asset_id
-          JOIN band b ON b.subject_id = l.asset_id JOIN gap g ON g.subject_id = l.asset_id""")]
+          LEFT JOIN band b ON b.subject_id = l.asset_id LEFT JOIN gap g ON g.subject_id = l.asset_id""")]
 
 
 def _q(s: str) -> str:
@@ -128,7 +132,7 @@ def _facts_sql(sep: str) -> str:
     concat('Subject property: a ', property_type, ' in ', coalesce(neighborhood_name, {_q(report.NO_ZONE)}), ', ', format('{{:.0f}}', area_m2), ' m2, ', CAST(rooms AS VARCHAR), ' room',
       CASE WHEN rooms <> 1 THEN 's' ELSE '' END, ', ', CAST(bathrooms AS VARCHAR), ' bathroom', CASE WHEN bathrooms <> 1 THEN 's' ELSE '' END, ', condition ', condition, '.'),
     concat('Estimated market value: ', format('{{:,.0f}}', estimate), ' euros, in a range of ', format('{{:,.0f}}', low), ' to ', format('{{:,.0f}}', high),
-      ' euros. The range is a 90% nominal interval that covered 90.3% of held-out test properties when measured.'),
+      ' euros. The range is a 90% nominal interval that covered ', covered_pct, '% of held-out test properties when measured.'),
     concat('Value drivers (SHAP): ', driver_text),
     CASE WHEN has_c THEN replace(lines, {LF}, {sep}) ELSE {_q(report.NO_COMPS)} END,
     CASE WHEN has_c THEN concat('The ', CAST(n AS VARCHAR), ' comparables list between ', format('{{:,.0f}}', price_min), ' and ', format('{{:,.0f}}', price_max), ' euros with a median of ',
@@ -142,9 +146,9 @@ def _facts_sql(sep: str) -> str:
     {_q(report.CAVEAT)})"""
 
 
-_REQ = f"""concat_ws('|', format('{{:,.0f}}', estimate), format('{{:,.0f}}', low), format('{{:,.0f}}', high), '90.3', {_q(report.CAVEAT)}, CASE WHEN has_e THEN 'proxy' END,
+_REQ = f"""concat_ws('|', format('{{:,.0f}}', estimate), format('{{:,.0f}}', low), format('{{:,.0f}}', high), covered_pct, {_q(report.CAVEAT)}, CASE WHEN has_e THEN 'proxy' END,
     CASE WHEN has_e AND scope IS NOT NULL THEN {_q(report.ENERGY_DISCLAIMER)} END)"""
-ALL = [TRAIN, *LINEAR, *DRIVERS, PAIRS, COMPS, BAND, *GAP, VAL, *CASE]
+ALL = [TRAIN, *LINEAR, *DRIVERS, PAIRS, COMPS, BAND, *GAP, *VAL, *CASE]
 
 
 def on_cases(sql: str) -> str:
@@ -152,19 +156,12 @@ def on_cases(sql: str) -> str:
 
 
 def cases(spark, sf):
-    """Every listing as a subject. So that all branches are seen failing: no valuation for
-    the test split, no comparables for duplexes, no energy without a zone."""
+    """Every listing as a subject, with the linear model's valuation."""
     def build():
-        s = subjects(spark, sf)
-        e = explained(spark, sf).withColumnRenamed("asset_id", "subject_id")
-        val = e.join(split(spark, sf).filter("split <> 'test'").select(F.col("asset_id").alias("subject_id")),
-                     "subject_id", "left_semi").select(
-            "subject_id", "estimate", (F.lit(0.75) * F.col("estimate")).alias("low"),
-            (F.lit(1.25) * F.col("estimate")).alias("high"), F.lit(0.9).alias("interval_coverage"),
-            F.lit(COVERAGE).alias("interval_test_coverage"), "driver_text", "top_drivers")
-        found = all_comps(spark, sf).filter("property_type <> 'duplex'")
-        en = energy.energy(s.filter("neighborhood_id is not null"), curate.curated(spark, sf))
-        return written(report.fan_in(s, val, found, en), "cases")
+        listings = curate.curated(spark, sf)
+        points = valuation.priced(explained(spark, sf), listings, split(spark, sf)).withColumnRenamed("asset_id", "subject_id")
+        val = valuation.conformal(points.drop("base_value"), C.TARGET)
+        return written(valuation.cases(subjects(spark, sf), listings, val, all_comps(spark, sf)), "cases")
     return once(spark, ("cases", sf), build)
 
 
@@ -235,6 +232,19 @@ def valuation_payload(spark, sf):
         F.col("payload.energy.band").alias("band"), F.col("payload.energy.impact.scope").alias("scope"), "error")
 
 
+@query("bundle_reports")
+def bundle_reports(spark, sf):
+    """The whole chain on the trained bundle: scores, drivers, comparables, energy, texts, payload."""
+    def build():
+        s = subjects(spark, sf)
+        return written(valuation.cases(s, curate.curated(spark, sf), valuation.by_bundle(s, bundle(spark, sf)), all_comps(spark, sf)), "bundle-cases")
+    told = report.narrative(once(spark, ("bundle-cases", sf), build))
+    out = report.payload(told).select("subject_id", "payload", "error", "json")
+    return told.select("subject_id", "narrative", "narrative_source", F.array_join("errors", "; ").alias("errors")).join(out, "subject_id").select(
+        "subject_id", *[F.col(f"payload.estimate.{c}").alias(c) for c in ("estimate", "low", "high", "interval_test_coverage")],
+        F.col("payload.comparables.n").alias("n_comps"), F.col("payload.energy.band").alias("band"), "narrative", "narrative_source", "errors", "error", "json")
+
+
 @query("marker_pct", on_listings("""SELECT asset_id, CASE WHEN hi - lo > 0 THEN round(least(greatest((e - lo) / (hi - lo) * 100, 0), 100), 6) ELSE 50.0::DOUBLE END AS marker
     FROM (SELECT asset_id, 2500::DOUBLE * area_m2 AS e, price * 0.8::DOUBLE AS lo, CASE WHEN rooms = 1 THEN price * 0.8::DOUBLE ELSE price * 1.3::DOUBLE END AS hi FROM listings) q"""))
 def marker_pct(spark, sf):
