@@ -13,10 +13,10 @@ position, so a key with a third of all rows is cut over files too. Files are
 written by one attempt each under a name of its own and renamed; a lost executor's files are
 written again with the same content.
 
-Texts are encoded in pieces between blanks: the tokenizer's words never span white space, so
-the ids of a text are the ids of its pieces in a row, and each worker keeps the ids of pieces
-it has met (two generations of bounded size). That needs a tokenizer that drops white space;
-``splits_at_space`` tests the file for it, and other tokenizers encode texts whole.
+Texts are encoded in pieces between blanks, and between letters and marks: the tokenizer's words
+never span them, so the ids of a text are the ids of its pieces in a row, and each worker keeps
+the ids of pieces it has met (two generations of bounded size). ``splits_at_space`` and
+``parts_at_marks`` test the tokenizer's file for both; other tokenizers encode texts whole.
 
 Defined results: a null text is empty and has the end id only; a null key sorts first; equal
 keys keep their input order; an empty table writes no file and gives an empty result; other
@@ -90,8 +90,51 @@ def splits_at_space(tokenizer_json: str) -> bool:
     return first.get("type") == "Split" and bool(first.get("invert")) and first.get("behavior") == "Removed"
 
 
+def parts_at_marks(tokenizer_json: str) -> bool:
+    """Whether the pattern keeps runs of letters, single digits and runs of all else apart, but
+    for endings that begin with an apostrophe."""
+    pre = json.loads(tokenizer_json).get("pre_tokenizer") or {}
+    first = (pre.get("pretokenizers") or [pre])[0]
+    kinds = (first.get("pattern") or {}).get("Regex", "").split("|")
+    return {k for k in kinds if not k.startswith("'")} == {r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"}
+
+
+def lowers(tokenizer_json: str) -> bool:
+    norm = json.loads(tokenizer_json).get("normalizer") or {}
+    return any(n.get("type") == "Lowercase" for n in norm.get("normalizers") or [norm])
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b",.;:!?()\"-")] = True           # no apostrophe, and none of an added token's characters
+
+
+def letter_mark_borders(here: np.ndarray) -> np.ndarray:
+    """True at a byte that is a mark behind a letter or a letter behind a mark. Letters are those of
+    ASCII and, behind a mark's left neighbour only, of U+00C0 to U+00FF."""
+    last = _LETTER[here]
+    last[1:] |= (here[:-1] == 0xC3) & (here[1:] >= 0x80) & (here[1:] != 0x97) & (here[1:] != 0xB7)
+    mark = _MARK[here]
+    cut = np.zeros(len(here), bool)
+    cut[1:] = (mark[1:] & last[:-1]) | (_LETTER[here[1:]] & mark[:-1])
+    return cut
+
+
+def no_borders(here: np.ndarray) -> np.ndarray:
+    return np.zeros(len(here), bool)
+
+
 class PieceEncoder:
-    """Ids of texts as bytes of a fixed width, by the tokenizers library."""
+    """Ids of texts as bytes of a fixed width, by the tokenizers library.
+
+    The words of a slice of texts are hashed together; each distinct one is looked up once, and
+    the ids of all words are gathered by NumPy. Words are parted between a letter and a mark where
+    the file's pattern parts there too, and ASCII capitals are lowered where the file lowers
+    them, unless a byte beyond ASCII follows (a combining mark might join one case only). Texts
+    with an added token in any case go through the library whole."""
 
     def __init__(self, path: str):
         import os
@@ -100,33 +143,88 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.by_piece = splits_at_space(f.read())
+            source = f.read()
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_piece = splits_at_space(source)
+        added = [t["content"].encode().lower() for t in json.loads(source).get("added_tokens") or []]
+        self.added = [t for t in added if t]
+        marks = self.by_piece and parts_at_marks(source) and not any(_MARK[list(t)].any() for t in self.added)
+        self.border = letter_mark_borders if marks else no_borders
+        self.lower = lowers(source)
+        suffix = json.loads(source)["model"].get("end_of_word_suffix")
+        self.ends = None
+        if marks and suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces. Those of letters up to U+00FF alone are one word each, which ends
+        with the only id marked so; hundreds go to the library as one text and are cut behind those
+        ids."""
+        texts = [p.decode() for p in pieces]
+        if self.ends is None:
             return self._whole(texts)
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        out: dict[str, bytes] = {}
+        plain = [t for t in texts if t.isalpha() and (t.isascii() or max(t) <= "\u00ff")]
+        for a in range(0, len(plain), 500):
+            some = plain[a:a + 500]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.width)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                raw, size, at = ids.tobytes(), ids.itemsize, 0
+                for p, end in zip(some, (cuts * size).tolist()):
+                    out[p] = raw[at:end]
+                    at = end
+        rest = [t for t in texts if t not in out]
+        out.update(zip(rest, self._whole(rest)))
+        return [out[t] for t in texts]
+
+    def _slice(self, texts: list[bytes]) -> list[bytes]:
+        buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        if self.lower:
+            up = _UPPER[buffer]
+            up[:-1] &= buffer[1:] < 0x80
+            buffer = buffer + (up * np.uint8(32))
+        h, starts, ends = tx.spans(buffer, tx.BLANKS, self.border)
+        _, first, place = np.unique(h, return_index=True, return_inverse=True)
+        raw = buffer.tobytes()
+        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         young, old = self.young, self.old
-        new = set()
-        for p in pieces:
-            new.update(p)
-        new = [w for w in new if w not in young]
-        for w in new:
-            if (ids := old.get(w)) is not None:
+        for w in pieces:
+            if w not in young and (ids := old.get(w)) is not None:
                 young[w] = ids
-        new = [w for w in new if w not in young]
-        young.update(zip(new, self._whole(new)))
-        out = [b"".join(map(young.__getitem__, p)) for p in pieces]
+        new = [w for w in pieces if w not in young]
+        young.update(zip(new, self._new(new)))
+        known = [young[w] for w in pieces]
+        size = np.dtype(self.width).itemsize
+        counts = np.fromiter(map(len, known), np.int64, len(known)) // size
+        begins = np.cumsum(counts) - counts
+        flat = np.frombuffer(b"".join(known), self.width)
+        n = counts[place]
+        behind = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.repeat(begins[place] - behind[:-1], n) + np.arange(behind[-1])].tobytes()
+        border = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        cuts = (behind[np.searchsorted(starts, border)] * size).tolist()
         if len(young) > KEPT_PIECES:
             self.old, self.young = young, {}
-        return out
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_piece:
+            return self._whole(texts)
+        raw = [t.encode() for t in texts]
+        whole = [any(a in t.lower() for a in self.added) for t in raw]
+        plain = [t for t, w in zip(raw, whole) if not w]
+        parted = iter([ids for a, b in tx.batches_of(plain) for ids in self._slice(plain[a:b])])
+        direct = iter(self._whole([t for t, w in zip(texts, whole) if w]))
+        return [next(direct if w else parted) for w in whole]
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -197,7 +295,7 @@ def read_records(manifest: DataFrame, folder_uri: str) -> DataFrame:
     spark = manifest.sparkSession
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)   # a row a file
     placed = manifest.select("file_no", "path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
-    placed = placed.repartition(max(1, manifest.count()), "file_no")
+    placed = placed.repartitionByRange(max(1, manifest.count()), "file_no")   # a hash would put files together
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, _ = store.filesystem(folder_uri)

@@ -117,3 +117,25 @@ def word_parts(texts: list[bytes], prefixes: tuple[int, ...], part: np.ndarray =
         for k in prefixes:
             m = starts + k <= ends
             yield mix((running[starts[m] + k] - running[starts[m]]) * inverse[m] + np.full(1, 1 << 40 | k, np.uint64)), owner[m]
+
+
+def spans(buffer: np.ndarray, part: np.ndarray, border) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every word of a buffer that ends with a parting byte; words are also
+    parted in front of each byte where ``border(slice)`` is true. Works through slices."""
+    found = []
+    for a, b in _slices(buffer, part):
+        here = buffer[a:b]
+        word = ~part[here]
+        cut = border(here)
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1] | cut[1:]
+        last[:-1] &= ~word[1:] | cut[1:]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        running = np.zeros(len(here) + 1, np.uint64)
+        np.cumsum(_CODE[here] * _powers(_POWER, len(here)), dtype=np.uint64, out=running[1:])
+        h = (running[ends] - running[starts]) * _powers(_INVERSE, len(here) + 1)[starts]
+        found.append((mix(h + (ends - starts).astype(np.uint64)), starts + a, ends + a))
+    if not found:
+        z = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), z, z
+    return tuple(np.concatenate(x) for x in zip(*found))

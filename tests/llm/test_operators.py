@@ -9,6 +9,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from estate_spark.llm import (chat, components, decontaminate, lines, lm, neardup, pieces, quality, records,
@@ -161,7 +163,17 @@ def test_records_equal_the_library(spark, sf, texts):
 
 def test_pieces_of_white_space_kinds():
     enc = records.encoder(public_tokenizers.path("word_bpe_49k.json"))
-    cases = ["a b c\td\x1ce", "it's  'S x'll", "é ́x", "", "  ", "A\r\n\x0bB C", "<|endoftext|> <|startoftext|>x"]
+    cases = ["a b c\td\x1ce", "it's  'S x'll", "é ́x", "", "  ", "A\r\n\x0bB C", "<|endoftext|> <|startoftext|>x",
+             "a<|EndOfText|>b", "Word,word (WORD).--'s x,'s It's, e\u0301. H\u0331H, h\u0331 ,\u0301a.\u0338b <|end", "ÜBER, über. ÷, ×.a Ø.b,»c",
+             "1,2.5 a1.b2 _x.", "don't.Won'T,o'LL-d", "W" * 5000 + "," + "ß" * 50]
+    for t, ids in zip(cases, enc.encode(cases)):
+        assert np.frombuffer(ids, enc.width).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aEzH sStTlL','\".,-!;:()<|>_09\n\t\u0301\u0331\u0338éÉ×»ßİΣжЖ漢"), max_size=40), max_size=4))
+def test_pieces_of_any_texts(cases):
+    enc = records.encoder(public_tokenizers.path("word_bpe_49k.json"))
     for t, ids in zip(cases, enc.encode(cases)):
         assert np.frombuffer(ids, enc.width).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
 
