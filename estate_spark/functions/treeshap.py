@@ -4,8 +4,16 @@ After Lundberg et al. (2018): with coalition S the expected leaf weight is the p
 over the path's features of o_j (row satisfies every split on j, 0 or 1) for j in S and
 z_j (share of training rows that do) otherwise. A leaf's Shapley value for feature i is
 then value * (o_i - z_i) * sum_s w(s) e_s, where e_s are the coefficients of
-prod_{j != i} (z_j + o_j t) and w(s) = s! (d-1-s)! / d!. Each step works on all rows of an
-Arrow batch at once.
+prod_{j != i} (z_j + o_j t) and w(s) = s! (d-1-s)! / d!.
+
+``tree_of`` and ``ensemble_contributions`` are the form for large ensembles. A row meets a leaf with
+one bit per path feature, so a leaf has at most 2^d different answers: they are tabulated once
+a batch for all leaves of a tree together, a walk over the nodes gives every row its bits (a child takes
+its parent's and changes one), and rows of the same bits read the same entry. The weighted
+sum over coalitions is the integral over t in [0, 1] of prod_{j != i} (z_j (1-t) + o_j t), a
+polynomial of degree d - 1, which Gauss-Legendre points give exactly. Memory: the rows, their
+contributions and one tree's tables. ``leaves_of`` and ``contributions`` state the same plainly, one
+polynomial a leaf and feature; the tests hold one against the other.
 """
 
 from __future__ import annotations
@@ -75,3 +83,83 @@ def contributions(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
             w = np.array([factorial(s) * factorial(d - 1 - s) / factorial(d) for s in range(d)])
             phi[:, feats[i]] += value * (hit[i] - share[i]) * (coef @ w)
     return phi
+
+
+TABLE_BITS = 8                   # path features up to which all bit patterns are tabulated
+# a node: (feature, threshold or None, categories to the left or None, bit, whether the path
+# meets the feature for the first time, left, right), or a leaf's (number of features, position)
+# a tree: the root and per number of features (values, shares, features) of its leaves
+Tree = tuple[tuple, dict]
+
+
+def tree_of(nodes: list[dict], weight: float) -> Tree:
+    by_id = {n["id"]: n for n in nodes}
+    groups: dict[int, list] = {}
+
+    def build(i: int, path: dict[int, float]):
+        node = by_id[i]
+        if node["leftChild"] < 0:
+            mine = groups.setdefault(len(path), [])
+            mine.append((weight * node["prediction"], list(path.values()), list(path)))
+            return len(path), len(mine) - 1
+        split = node["split"]
+        f, values = split["featureIndex"], split["leftCategoriesOrThreshold"]
+        numeric = split["numCategories"] == -1
+        fresh = f not in path
+        bit = len(path) if fresh else list(path).index(f)
+        sides = [build(node[side], {**path, f: path.get(f, 1.0) * by_id[node[side]]["rawCount"] / node["rawCount"]})
+                 for side in ("leftChild", "rightChild")]
+        return f, values[0] if numeric else None, None if numeric else list(values), bit, fresh, *sides
+
+    root = build(0, {})
+    return root, {d: (np.array([g[0] for g in group], float), np.array([g[1] for g in group], float).reshape(len(group), d),
+                      np.array([g[2] for g in group], int).reshape(len(group), d)) for d, group in groups.items()}
+
+
+def ensemble_expected(trees: list[Tree]) -> float:
+    return float(sum((values * shares.prod(axis=1)).sum() for _, groups in trees for values, shares, _ in groups.values()))
+
+
+def pattern_values(values: np.ndarray, shares: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """(leaf, pattern, feature): contributions of leaves with d path features for bit patterns."""
+    d = shares.shape[1]
+    at, weight = np.polynomial.legendre.leggauss((d + 1) // 2)
+    at, weight = (at + 1) / 2, weight / 2
+    factor = shares[:, None, None, :] * (1 - at)[:, None] + hit[None, :, None, :] * at[:, None]
+    others = np.ones_like(factor)
+    others[..., 1:] = np.cumprod(factor[..., :-1], axis=-1)
+    others[..., :-1] *= np.cumprod(factor[..., :0:-1], axis=-1)[..., ::-1]
+    return values[:, None, None] * (hit[None] - shares[:, None, :]) * np.einsum("lpqd,q->lpd", others, weight)
+
+
+def bits_of(patterns: np.ndarray, d: int) -> np.ndarray:
+    return ((patterns[:, None].astype(np.int64) >> np.arange(d)) & 1).astype(float)
+
+
+def ensemble_contributions(x: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    columns = np.ascontiguousarray(x.T)
+    phi = np.zeros(columns.shape)
+    for root, groups in trees:
+        kind = np.uint8 if max(groups) <= 8 else np.int64
+        tables = {d: np.ascontiguousarray(pattern_values(v, z, bits_of(np.arange(1 << d), d)).transpose(0, 2, 1))
+                  for d, (v, z, _) in groups.items() if 0 < d <= TABLE_BITS}
+        stack = [(root, np.zeros(len(x), kind))]
+        while stack:
+            node, bits = stack.pop()
+            if len(node) == 2:
+                d, i = node
+                values, shares, features = groups[d]
+                if d > TABLE_BITS:
+                    seen, bits = np.unique(bits, return_inverse=True)
+                    table = pattern_values(values[i:i + 1], shares[i:i + 1], bits_of(seen, d))[0].T
+                elif d:
+                    table = tables[d][i]
+                for k in range(d):
+                    phi[features[i, k]] += table[k].take(bits)
+                continue
+            f, threshold, categories, bit, fresh, left, right = node
+            goes = columns[f] <= threshold if categories is None else np.isin(columns[f], categories)
+            for child, ok in ((left, goes), (right, ~goes)):
+                moved = ok.astype(kind) << kind(bit)
+                stack.append((child, bits | moved if fresh else bits & (moved | ~(kind(1) << kind(bit)))))
+    return phi.T

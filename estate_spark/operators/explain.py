@@ -26,8 +26,8 @@ PREFIX = "shap__"
 TOP_N = 5                        # fixed value
 
 
-def ensemble_leaves(model, spark) -> list[treeshap.Leaf]:
-    """Leaves of a boosted model, read from the model's own saved tables: its size is set by
+def ensemble_trees(model, spark) -> list[treeshap.Tree]:
+    """Trees of a boosted model, read from the model's own saved tables: its size is set by
     the training parameters, not by the data."""
     path = scratch_path(spark, "model")
     model.write().save(path)
@@ -35,16 +35,16 @@ def ensemble_leaves(model, spark) -> list[treeshap.Leaf]:
     trees: dict[int, list] = {}
     for r in spark.read.parquet(f"{path}/data").collect():
         trees.setdefault(r["treeID"], []).append(r["nodeData"].asDict(recursive=True))
-    return [leaf for t, nodes in sorted(trees.items()) for leaf in treeshap.leaves_of(nodes, float(weights[t]))]
+    return [treeshap.tree_of(nodes, float(weights[t])) for t, nodes in sorted(trees.items())]
 
 
 def shap_rows(df: DataFrame, bundle: models.Bundle, key: str = "asset_id") -> DataFrame:
     """key, shap__<feature> x 38, base_value, prediction. Tree values need a per-row walk
     over the model, so Arrow batches go through NumPy; partitions stay where they are."""
-    leaves = ensemble_leaves(bundle.point, df.sparkSession)
-    base = treeshap.expected_value(leaves)
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
-    names, contributions = bundle.names, treeshap.contributions
+    trees = ensemble_trees(bundle.point, df.sparkSession)
+    base = treeshap.ensemble_expected(trees)
+    shared = df.sparkSession.sparkContext.broadcast(trees)
+    names, contributions = bundle.names, treeshap.ensemble_contributions
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -70,6 +70,42 @@ def test_shap_against_subset_enumeration():
         assert treeshap.expected_value(leaves) + got.sum() == pytest.approx(value(row, {0, 1}))
 
 
+def random_tree(rng, depth, features=12, levels=5):
+    """Nodes as Spark ML stores them: the first third of the features is categorical, features repeat on a path."""
+    nodes = []
+
+    def grow(count, left):
+        i = len(nodes)
+        nodes.append({"id": i, "leftChild": -1, "rightChild": -1, "prediction": float(rng.normal()), "rawCount": count,
+                      "split": {"featureIndex": -1, "leftCategoriesOrThreshold": [], "numCategories": -1}})
+        if left and count > 1 and (left == depth or rng.random() < 0.95):
+            f = int(rng.integers(features))
+            some = f < features // 3
+            nodes[i]["split"] = {"featureIndex": f, "numCategories": levels if some else -1, "leftCategoriesOrThreshold":
+                                 sorted(rng.choice(levels, 2, replace=False).astype(float).tolist()) if some else [float(rng.random())]}
+            part = int(rng.integers(1, count))
+            nodes[i]["leftChild"] = grow(part, left - 1)
+            nodes[i]["rightChild"] = grow(count - part, left - 1)
+        return i
+
+    grow(100_000, depth)
+    return nodes
+
+
+@pytest.mark.parametrize("depth", [0, 1, 6, 10])
+def test_tree_kernel_equals_the_plain_form(depth):
+    rng = np.random.default_rng(depth)
+    x = rng.random((300, 12))
+    x[:, :4] = rng.integers(0, 5, (300, 4))
+    trees = [random_tree(rng, depth) for _ in range(4)]
+    fast = [treeshap.tree_of(t, 0.5 + i) for i, t in enumerate(trees)]
+    plain = [leaf for i, t in enumerate(trees) for leaf in treeshap.leaves_of(t, 0.5 + i)]
+    got = treeshap.ensemble_contributions(x, fast)
+    assert np.allclose(got, treeshap.contributions(x, plain), atol=1e-9)
+    assert treeshap.ensemble_expected(fast) == pytest.approx(treeshap.expected_value(plain))
+    assert treeshap.ensemble_contributions(x[:0], fast).shape == (0, 12)
+
+
 def test_importance_sums_to_one(spark, sf):
     rows = QUERIES["importance_shares"](spark, sf).collect()
     assert sum(r["share"] for r in rows) == pytest.approx(1.0) and not any(r["suspicious"] for r in rows)
