@@ -7,7 +7,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from estate_spark import contract as C
 from estate_spark.operators import boost, evaluate, features, sampling
-from estate_spark.session import written
+from estate_spark.session import scratch_path, written
 
 SEED = 42
 VECTOR = "features"
@@ -165,7 +165,11 @@ def fit_probe(train: DataFrame, label: str, vector: str, iterations: int = 100):
     lr = LogisticRegression(featuresCol="_scaled", labelCol=label, weightCol="_w", maxIter=iterations,
                             regParam=1.0 / (PROBE_C * n["n"]), elasticNetParam=0.0, standardization=False,
                             probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")
-    model = lr.fit(scaler.transform(train).withColumn("_w", weight))
+    # a fitted model's summary holds the session, which tasks can't take once a frame was observed;
+    # a loaded one has none
+    path = scratch_path(train.sparkSession, "probe")
+    lr.fit(scaler.transform(train).withColumn("_w", weight)).write().save(path)
+    model = LogisticRegressionModel.load(path)
 
     def apply(df: DataFrame, keep: list[str]) -> DataFrame:
         return model.transform(scaler.transform(df)).select(
