@@ -48,8 +48,9 @@ def scan_csv(spark, sf):
     FROM parcel_edges"""))
 def scan_wkt(spark, sf):
     z = io.load_zones(src.raw_parcels(spark, sf))
-    return z.select("LOCATIONID", F.explode("edges").alias("e"), "x_min", "x_max", "y_min", "y_max").select(
-        "LOCATIONID", "e.*", "x_min", "x_max", "y_min", "y_max")
+    # an inner explode infers a filter on its array, which would parse every text again at the scan
+    e = z.select("LOCATIONID", F.explode_outer("edges").alias("e"), "x_min", "x_max", "y_min", "y_max").filter("e is not null")
+    return e.select("LOCATIONID", "e.*", "x_min", "x_max", "y_min", "y_max")
 
 
 @query("sink_parquet", on_pipeline(

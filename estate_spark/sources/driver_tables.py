@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from estate_spark.session import spread
 from estate_spark.sources.io import read_table
 
 RAW_LISTINGS_SQL = """
@@ -121,4 +122,5 @@ def raw_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PARCELS_SQL, customer=read_table(spark, sf_dir, "customer"))
+    # texts are made and parsed row by row, and the key column is a small file
+    return spark.sql(PARCELS_SQL, customer=spread(read_table(spark, sf_dir, "customer", ["c_custkey", "c_name"])))

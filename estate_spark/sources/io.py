@@ -48,20 +48,20 @@ _RING = r"\(([^()]+)\)"
 
 def parse_wkt(wkt: Column) -> Column:
     """(MULTI)POLYGON text -> array of directed edges of every ring, holes included."""
+    # a value that is used twice is the element of a transform, so it is made once
     rings = F.regexp_extract_all(wkt, F.lit(_RING), F.lit(1))
 
-    def corner(text: Column) -> Column:
-        xy = F.split(F.trim(text), r"\s+")
-        return F.struct(xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y"))
+    def corners(ring: Column) -> Column:
+        pairs = F.transform(F.split(ring, ","), lambda text: F.split(F.trim(text), r"\s+"))
+        return F.transform(pairs, lambda xy: F.struct(xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y")))
 
-    def ring_edges(ring: Column) -> Column:
-        pts = F.transform(F.split(ring, ","), corner)
+    def ring_edges(pts: Column) -> Column:
         return F.zip_with(
             F.slice(pts, F.lit(1), F.size(pts) - 1), F.slice(pts, F.lit(2), F.size(pts) - 1),
             lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"),
                                   b["x"].alias("x2"), b["y"].alias("y2")))
 
-    return F.flatten(F.transform(rings, ring_edges))
+    return F.flatten(F.transform(F.transform(rings, corners), ring_edges))
 
 
 def load_zones(df: DataFrame, wkt_col: str = "wkt") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import types as T
 
+from estate_spark import session
+from estate_spark.plans import QUERIES
 from estate_spark.session import scratch_path
 from estate_spark.sources import io
 
@@ -35,3 +37,16 @@ def test_wkt_edges(spark):
     r = io.load_zones(df).first()
     assert [tuple(e) for e in r["edges"]] == [(0, 0, 2, 0), (2, 0, 2, 1), (2, 1, 0, 0)]
     assert (r["x_min"], r["x_max"], r["y_min"], r["y_max"]) == (0, 2, 0, 1)
+
+
+def test_zones_parse_each_text_once_and_spread_over_tasks(spark, sf, monkeypatch):
+    """Nothing that is used twice is evaluated twice, and rows that cost much don't stay in one task."""
+    plan = QUERIES["scan_wkt"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+    assert "Filter" not in plan[plan.index("Repartition"):]
+    from estate_spark.sources import driver_tables
+    monkeypatch.setattr(driver_tables, "spread", lambda t: session.spread(t, 20))
+    rows = driver_tables.raw_parcels(spark, sf)
+    assert rows.rdd.getNumPartitions() == -(-rows.count() // 20)
+    empty = session.spread(spark.createDataFrame([], "a int"))
+    assert empty.rdd.getNumPartitions() == 1 and empty.count() == 0
