@@ -27,10 +27,11 @@ from pyspark.sql.window import Window
 from estate_spark.functions import geo
 from estate_spark.functions.text import fixed
 from estate_spark.operators import ranks
-from estate_spark.session import written
+from estate_spark.session import grown, spread, written
 
 TOP_K = 5                       # fixed value
 FEW_SUBJECTS = 64
+POINTS_PER_TASK = 5_000
 KM_PER_DEG = 111.19             # a little under the true 6371 km sphere's 111.195
 _SLACK = 1e-6                   # float error must not drop a true neighbour
 _BITS = 14                      # per axis; 42 bits of curve position fit a double exactly
@@ -117,7 +118,7 @@ def _curve_candidates(points: DataFrame, pool: DataFrame, k: int, scale: float,
     first = F.greatest(F.least(F.col("pos") - k, F.col("_all") - 2 * k - 1), F.lit(1))
     near = (placed.filter("s is not null").join(total, "series")
             .select("series", F.explode(F.sequence(first, first + 2 * k + 1)).alias("pos"), "s.*"))
-    pairs = near.join(ranked, ["series", "pos"])
+    pairs = near.join(grown(ranked), ["series", "pos"])
     return _scored(pairs).select(*S_POINT, F.struct("score", "asset_id").alias("c"))
 
 
@@ -169,7 +170,7 @@ def comparables(subjects: DataFrame, pool: DataFrame, k: int = TOP_K,
         *S_POINT, F.get("c", F.lit(k))["score"].alias("u"))
     # fewer than k+1 rows: the type itself is that small, search everywhere
     far = float(2 ** _MAX_LEVEL)
-    bounded = written(points.join(bound, S_POINT, "left").withColumn(
+    bounded = written(points.join(grown(bound), S_POINT, "left").withColumn(
         "u", F.coalesce(F.col("u") * (1 + _SLACK) + _SLACK, F.lit(far))).withColumn("level", _level(F.col("u"))),
         "comps-bounds")
 
@@ -180,7 +181,8 @@ def comparables(subjects: DataFrame, pool: DataFrame, k: int = TOP_K,
         cells = cells.withColumn(f"c{name}", F.floor(axis / size))
     # km per degree understates arcs up to ~1.5 degrees; beyond, sin x >= 2x/pi still holds
     shrink = F.when(F.col("u") > min(100.0, 1.5 * scale), 2 / math.pi).otherwise(1.0)
-    probes = bounded
+    # each point meets dozens of cells and rows, and many points are a small file
+    probes = spread(bounded, POINTS_PER_TASK)
     s_axes = dict(zip("abc", _axes(F.col("s_latitude"), F.col("s_longitude"), F.col("s_area_m2"), scale)))
     gaps = {}
     for name, axis in s_axes.items():
@@ -192,13 +194,13 @@ def comparables(subjects: DataFrame, pool: DataFrame, k: int = TOP_K,
         flat = F.sqrt(sum((gaps[n] * gaps[n] for n in "ab" if n in gaps), F.lit(0.0)))
         probes = probes.filter(flat + gaps.get("c", F.lit(0.0)) <= F.col("u"))
     key = ["property_type", "level", "ca", "cb", "cc"]
-    hits = probes.withColumn("property_type", F.col("s_property_type")).join(cells, key)
+    hits = probes.withColumn("property_type", F.col("s_property_type")).join(grown(cells), key)
     hits = hits.filter((F.abs(F.col("area_m2") - F.col("s_area_m2")) / geo.AREA_SCALE_M2
                         + geo.ROOMS_WEIGHT * F.abs(F.col("rooms") - F.col("s_rooms"))) <= F.col("u"))
     best = _top(_scored(hits).filter(F.col("score") <= F.col("u")), S_POINT, k + 1).drop("rank", "u", "level", "ca", "cb", "cc")
-    mine = s.join(best, S_POINT).filter(not_self)
+    mine = s.join(grown(best), S_POINT).filter(not_self)
     final = _top(mine, ["subject_id"], k)
-    return _shape(final.join(pool.select("asset_id", *extra), "asset_id"))
+    return _shape(final.join(grown(pool.select("asset_id", *extra)), "asset_id"))
 
 
 def _shape(df: DataFrame) -> DataFrame:
