@@ -75,10 +75,12 @@ def missing_problems(text: Column, required: Column) -> Column:
 
 
 def stray_problems(text: Column, facts: Column) -> Column:
-    stray = stray_numbers(text, facts)
-    quoted = F.array_join(F.transform(stray, lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", ")
-    return F.when(F.size(stray) > 0, F.array(F.concat(
-        F.lit("numbers not present in the facts: ["), quoted, F.lit("]")))).otherwise(F.array().cast("array<string>"))
+    def say(stray: Column) -> Column:
+        quoted = F.array_join(F.transform(stray, lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", ")
+        return F.when(F.size(stray) > 0, F.array(F.concat(
+            F.lit("numbers not present in the facts: ["), quoted, F.lit("]")))).otherwise(F.array().cast("array<string>"))
+
+    return _let(stray_numbers(text, facts), say)
 
 
 def validate_text(text: Column, facts: Column, required: Column) -> Column:

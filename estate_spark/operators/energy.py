@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from estate_spark.functions import rules
 from estate_spark.operators import ranks
+from estate_spark.session import grown
 
 MIN_SEGMENT_N = 20              # fixed value
 
@@ -63,4 +64,4 @@ def energy(subjects: DataFrame, listings: DataFrame) -> DataFrame:
     """subject_id, band, band_is_proxy, flag, effective_year, year_source, impact."""
     band = rules.with_energy_band(subjects).select(
         "subject_id", "band", F.lit(True).alias("band_is_proxy"), "flag", "effective_year", "year_source")
-    return band.join(segment_gap(subjects, listings), "subject_id")
+    return band.join(grown(segment_gap(subjects, listings)), "subject_id")

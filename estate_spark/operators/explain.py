@@ -16,7 +16,7 @@ from estate_spark.functions import treeshap
 from estate_spark.functions.labels import describe
 from estate_spark.functions.text import format_eur
 from estate_spark.operators import features, models
-from estate_spark.session import scratch_path
+from estate_spark.session import grown, scratch_path
 
 # the one function that runs in Python workers travels with the job, so executors need no
 # copy of this package
@@ -102,7 +102,7 @@ def explain(listings: DataFrame, shap: DataFrame, n: int = TOP_N, key: str = "as
     """key, estimate, base_value, top_drivers, driver_text."""
     feats = explained_features(shap)
     raw = listings.select(key, "neighborhood_name", *[f for f in feats if f != "neighborhood_name"])
-    out = shap.join(raw, key).withColumn("top_drivers", drivers_of(feats, n))
+    out = shap.join(grown(raw), key).withColumn("top_drivers", drivers_of(feats, n))
     return out.select(key, F.col("prediction").alias("estimate"), "base_value", "top_drivers",
                       driver_text(F.col("prediction"), F.col("top_drivers")).alias("driver_text"))
 
@@ -123,6 +123,6 @@ def cache_or_compute(wanted: DataFrame, cache: DataFrame, compute, run_id: str,
     ``from_cache``. The cache is keyed by run, so that an estimate and its interval never
     come from two different models."""
     mine = cache.filter(F.col("run_id") == run_id).drop("run_id")
-    hits = mine.join(wanted.select(key), key, "left_semi").withColumn("from_cache", F.lit(True))
-    missing = wanted.join(mine.select(key), key, "left_anti")
+    hits = mine.join(grown(wanted.select(key)), key, "left_semi").withColumn("from_cache", F.lit(True))
+    missing = wanted.join(grown(mine.select(key)), key, "left_anti")
     return hits.unionByName(compute(missing).withColumn("from_cache", F.lit(False)))

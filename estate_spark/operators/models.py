@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from estate_spark import contract as C
 from estate_spark.operators import boost, evaluate, features, sampling
-from estate_spark.session import scratch_path, written
+from estate_spark.session import grown, scratch_path, written
 
 SEED = 42
 VECTOR = "features"
@@ -102,7 +102,7 @@ def score(df: DataFrame, bundle: Bundle, keep: list[str] = ("asset_id",)) -> Dat
 
 def train_bundle(listings: DataFrame, split: DataFrame, **params) -> Bundle:
     """Fit on train, stop on val, calibrate on val, measure on test."""
-    rows = listings.join(split, "asset_id")
+    rows = listings.join(grown(split), "asset_id")
     roles = C.feature_roles()
     C.assert_no_leakage(roles.usable)
     train = rows.filter("split = 'train'")
@@ -137,7 +137,7 @@ def importance(model, names: list[str]) -> DataFrame:
 def train_alt(listings: DataFrame, split: DataFrame) -> DataFrame:
     """Second candidate: ridge regression of the standardized log price on standardized
     and one-hot features; returns asset_id, split, price, estimate of all rows."""
-    rows = listings.join(split, "asset_id")
+    rows = listings.join(grown(split), "asset_id")
     train = rows.filter("split = 'train'")
     categories = list(C.feature_roles().categorical)
     prep = features.fit(train, categorical=[])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from estate_spark.functions.text import (BANNED_WORDS, fixed, format_eur, pct1,
                                          plural_s, validate_text)
 from estate_spark.operators import comps as comps_op
+from estate_spark.session import grown
 
 # fixed values
 CAVEAT = ("Estimates come from 2018 Madrid asking prices; "
@@ -62,8 +63,8 @@ def fan_in(subjects: DataFrame, valuations: DataFrame, comps: DataFrame, energy:
     v = valuations.select("subject_id", F.struct(
         *[c for c in valuations.columns if c != "subject_id"]).alias("valuation"))
     e = energy.select("subject_id", F.struct(*[c for c in energy.columns if c != "subject_id"]).alias("energy"))
-    out = (subjects.join(v, "subject_id", "left").join(nested_comps(comps), "subject_id", "left")
-           .join(e, "subject_id", "left"))
+    out = (subjects.join(grown(v), "subject_id", "left").join(grown(nested_comps(comps)), "subject_id", "left")
+           .join(grown(e), "subject_id", "left"))
     return out.withColumn("errors", F.array_compact(F.array(
         F.when(F.col("comps").isNull(), F.concat(
             F.lit("comparables_agent: no listings share property_type '"), F.col("property_type"), F.lit("'"))),

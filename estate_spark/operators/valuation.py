@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from estate_spark import contract as C
 from estate_spark.operators import energy, evaluate, explain, models, report
+from estate_spark.session import grown
 
 
 def conformal(points: DataFrame, y: str, split: str = "split", point: str = "estimate",
@@ -34,7 +35,7 @@ def by_bundle(subjects: DataFrame, bundle: models.Bundle) -> DataFrame:
     key = "subject_id"
     said = explain.explain(subjects, explain.shap_rows(subjects, bundle, key), key=key)
     scored = models.score(subjects, bundle, [key])
-    return scored.join(said.select(key, "top_drivers", "driver_text"), key)
+    return scored.join(grown(said.select(key, "top_drivers", "driver_text")), key)
 
 
 def cases(subjects: DataFrame, listings: DataFrame, valuations: DataFrame, comps: DataFrame) -> DataFrame:
@@ -44,4 +45,4 @@ def cases(subjects: DataFrame, listings: DataFrame, valuations: DataFrame, comps
 
 def priced(linear: DataFrame, listings: DataFrame, split: DataFrame) -> DataFrame:
     """The output of ``explain`` with the price and split that a conformal band needs."""
-    return linear.join(listings.select("asset_id", C.TARGET), "asset_id").join(split.select("asset_id", "split"), "asset_id")
+    return linear.join(grown(listings.select("asset_id", C.TARGET)), "asset_id").join(grown(split.select("asset_id", "split")), "asset_id")

@@ -14,7 +14,7 @@ from estate_spark.functions import labels, text
 from estate_spark.plans.base_sql import on_listings, on_split
 from estate_spark.plans.registry import query
 from estate_spark.plans.sampling import TILED, PURITY, ASSIGNED, assigned, split, tile_scores, manifest
-from estate_spark.session import once, written
+from estate_spark.session import grown, once, written
 from estate_spark.sources import io
 
 NUM = ["area_m2", "rooms", "bathrooms", "floor", "construction_year", "distance_to_metro", "cadastral_quality_id"]
@@ -23,7 +23,7 @@ TRAIN = ("train", "SELECT l.* FROM listings l JOIN split s ON s.asset_id = l.ass
 
 
 def train_rows(spark, sf):
-    return curate.curated(spark, sf).join(split(spark, sf).filter("split = 'train'"), "asset_id", "left_semi")
+    return curate.curated(spark, sf).join(grown(split(spark, sf).filter("split = 'train'")), "asset_id", "left_semi")
 
 
 def small_prep(spark, sf):
@@ -100,14 +100,14 @@ def bundle(spark, sf):
 @query("train_point")
 def train_point(spark, sf):
     b = bundle(spark, sf)
-    x = models.assemble(curate.curated(spark, sf).join(split(spark, sf), "asset_id"), b.prep)
+    x = models.assemble(curate.curated(spark, sf).join(grown(split(spark, sf)), "asset_id"), b.prep)
     return evaluate.metrics(b.point.transform(x), "price", "estimate", ["split"]).withColumn("best_round", F.lit(b.rounds["point"]["best"]))
 
 
 @query("train_quantile")
 def train_quantile(spark, sf):
     b = bundle(spark, sf)
-    x = models.assemble(curate.curated(spark, sf).join(split(spark, sf), "asset_id"), b.prep)
+    x = models.assemble(curate.curated(spark, sf).join(grown(split(spark, sf)), "asset_id"), b.prep)
     return evaluate.band_variants(models.predict_raw(x, b).filter("split = 'test'"), "price", F.lit(b.calibration_q))
 
 
@@ -157,7 +157,7 @@ def shap_cache(spark, sf):
     """Rows of two splits cached, all rows asked for: the third split is computed."""
     b = bundle(spark, sf)
     rows = curate.curated(spark, sf)
-    cached = rows.join(split(spark, sf).filter("split <> 'test'"), "asset_id", "left_semi")
+    cached = rows.join(grown(split(spark, sf).filter("split <> 'test'")), "asset_id", "left_semi")
     cache = written(explain.shap_rows(cached, b).withColumn("run_id", F.lit(b.run_id)), "shap-cache")
     return explain.cache_or_compute(rows, cache, lambda d: explain.shap_rows(d, b), b.run_id).select(
         "asset_id", "prediction", "from_cache")

@@ -12,7 +12,7 @@ from estate_spark.plans.modelling import DRIVERS, LINEAR, TRAIN, bundle, explain
 from estate_spark.plans.neighbours import BAND, COMPS, GAP, PAIRS, all_comps, subjects
 from estate_spark.plans.registry import query
 from estate_spark.plans.sampling import split
-from estate_spark.session import once, written
+from estate_spark.session import grown, once, written
 from estate_spark.sources import io
 
 LF = "chr(10)"
@@ -240,7 +240,7 @@ def bundle_reports(spark, sf):
         return written(valuation.cases(s, curate.curated(spark, sf), valuation.by_bundle(s, bundle(spark, sf)), all_comps(spark, sf)), "bundle-cases")
     told = report.narrative(once(spark, ("bundle-cases", sf), build))
     out = report.payload(told).select("subject_id", "payload", "error", "json")
-    return told.select("subject_id", "narrative", "narrative_source", F.array_join("errors", "; ").alias("errors")).join(out, "subject_id").select(
+    return told.select("subject_id", "narrative", "narrative_source", F.array_join("errors", "; ").alias("errors")).join(grown(out), "subject_id").select(
         "subject_id", *[F.col(f"payload.estimate.{c}").alias(c) for c in ("estimate", "low", "high", "interval_test_coverage")],
         F.col("payload.comparables.n").alias("n_comps"), F.col("payload.energy.band").alias("band"), "narrative", "narrative_source", "errors", "error", "json")
 
