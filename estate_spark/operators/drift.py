@@ -76,7 +76,8 @@ def ref_quantiles(r: DataFrame, qs: list[float]) -> DataFrame:
     steps = []
     for i, p in enumerate(pos):
         share = p - F.floor(p)
-        steps.append(F.when(share == 0, F.col(f"lo{i}")).otherwise(F.col(f"lo{i}") * (1 - share) + F.col(f"hi{i}") * share))
+        # between equal values the weighted sum may miss them by a bit and move a whole value to the next bin
+        steps.append(F.when((share == 0) | (F.col(f"lo{i}") == F.col(f"hi{i}")), F.col(f"lo{i}")).otherwise(F.col(f"lo{i}") * (1 - share) + F.col(f"hi{i}") * share))
     return found.select("series", F.array(*steps).alias("q"))
 
 

@@ -170,7 +170,8 @@ def quantile_rows(df: DataFrame, cols: list[str], qs: list[float], by: list[str]
         else:
             pos = (F.col("n") - 1) * F.lit(float(q))
             frac = pos - F.floor(pos)
-            sel.append(F.when(frac == 0, F.col(f"lo{i}")).otherwise(
+            # equal neighbours are the quantile, bit for bit, as in ``percentile``
+            sel.append(F.when((frac == 0) | (F.col(f"lo{i}") == F.col(f"hi{i}")), F.col(f"lo{i}")).otherwise(
                 F.col(f"lo{i}") * (1 - frac) + F.col(f"hi{i}") * frac).alias(_label(q)))
     return out.select(*by, SERIES, "n", *sel)
 

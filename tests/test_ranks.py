@@ -146,3 +146,16 @@ def test_split_is_independent_of_partitioning(spark):
     a = sorted(map(tuple, sampling.split_3way(df.repartition(1)).collect()))
     b = sorted(map(tuple, sampling.split_3way(df.repartition(7)).collect()))
     assert a == b
+
+
+def test_quantiles_between_equal_values_are_that_value(spark):
+    """x (1 - s) + x s may differ from x in the last bit, which moves all its rows to another bin."""
+    values = [40.3028, -3.7411, 40.5127, -3.6649, 0.1, 40.4113]
+    rows = spark.createDataFrame([(str(v), v) for v in values for _ in range(8)], "g string, v double")
+    qs = [i / 10 for i in range(11)]
+    assert any(v * (1 - s) + v * s != v for v in values for p in qs[1:] for s in [7 * p - int(7 * p)])
+    for r in ranks.quantile_rows(rows, ["v"], qs, ["g"], small=False).collect():
+        assert set(r[3:]) == {float(r["g"])}
+    one = spark.createDataFrame([(v,) for v in values[:1] * 8], "v double")
+    edges = drift.ref_quantiles(drift.ranked(drift.state(one, one, ["v"])), qs).first()["q"]
+    assert set(edges) == {values[0]}
