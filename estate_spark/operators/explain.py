@@ -24,6 +24,7 @@ cloudpickle.register_pickle_by_value(treeshap)
 
 PREFIX = "shap__"
 TOP_N = 5                        # fixed value
+SHAP_ROWS = 40_000               # rows that share a tree's tables; a few copies of their vectors are held
 
 
 def ensemble_trees(model, spark) -> list[treeshap.Tree]:
@@ -46,11 +47,22 @@ def shap_rows(df: DataFrame, bundle: models.Bundle, key: str = "asset_id") -> Da
     shared = df.sparkSession.sparkContext.broadcast(trees)
     names, contributions = bundle.names, treeshap.ensemble_contributions
 
+    at_once = SHAP_ROWS
+
+    def answered(held: list[pd.DataFrame]) -> pd.DataFrame:
+        b = pd.concat(held, ignore_index=True)
+        phi = contributions(np.stack(b["x"].to_numpy()), shared.value)
+        return pd.DataFrame({key: b[key], "prediction": b["prediction"], "phi": list(phi)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for b in batches:
-            if len(b):
-                phi = contributions(np.stack(b["x"].to_numpy()), shared.value)
-                yield pd.DataFrame({key: b[key], "prediction": b["prediction"], "phi": list(phi)})
+            held.append(b)
+            if sum(map(len, held)) >= at_once:
+                yield answered(held)
+                held = []
+        if sum(map(len, held)):
+            yield answered(held)
 
     x = bundle.point.transform(models.assemble(df, bundle.prep)).select(
         key, F.col("estimate").alias("prediction"), vector_to_array(F.col(models.VECTOR)).alias("x"))
