@@ -561,6 +561,20 @@ def test_filter_has_no_false_misses():
     assert (found.levels(other, np.zeros(5000, np.int64), lm.PAIR) > 0).mean() < 0.01
 
 
+def test_filter_is_probed_in_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    keys, levels, bucket = rng.integers(1, 2**63, 3000).astype(np.uint64), rng.integers(0, 9, 3000), rng.integers(0, 3, 3000)
+    pieces = [(b, lm.filter_piece(lm.insertions(keys[bucket == b], levels[bucket == b], lm.COUNT))) for b in (0, 1)]
+    found = lm.Filter(pieces, 2, sum(len(p) for _, p in pieces))
+    whole = found.levels(keys, bucket, lm.COUNT)
+    assert (whole[bucket < 2] >= levels[bucket < 2]).all() and not whole[bucket == 2].any()
+    sizes, probe = [], lm.Filter._has
+    monkeypatch.setattr(lm, "PROBED", 700)
+    monkeypatch.setattr(lm.Filter, "_has", lambda self, k, *a: sizes.append(len(k)) or probe(self, k, *a))
+    assert (found.levels(keys, bucket, lm.COUNT) == whole).all() and max(sizes) <= 700
+    assert len(found.levels(keys[:0], bucket[:0], lm.COUNT)) == 0
+
+
 # ------------------------------------------------------------- 10 quality rules
 def counts(t):
     w = WORD.findall(t or "")
