@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -361,6 +362,57 @@ def test_unbroken_lines(spark, tmp_path):
     assert sets == {i: len(shingles(x)) for i, x in enumerate(UNBROKEN)}
 
 
+def test_copies_of_a_line_make_few_links(spark):
+    """200 near lines around two bases and a chain between them: links grow with the lines, not with their pairs, and
+    connect what any link connects; units of two blocks, too."""
+    rng = random.Random(5)
+    bases = ["".join(rng.choice("abcdefghij ") for _ in range(200)) for _ in range(2)]
+    near = [b[:i] + "#" + b[i + 1:] for b in bases for i in range(0, 200, 2)]
+    chain = [bases[0][:k] + bases[1][k:] for k in range(0, 201, 15)]
+    all_ = sorted({*near, *chain})
+    texts = spark.createDataFrame(list(enumerate(all_)), "k long, line string")
+    entries = texts.select("k", F.lit(7).cast("long").alias("bucket"))
+    want, n_links = collections.defaultdict(set), 0
+    sets = [shingles(x) for x in all_]
+    root = list(range(len(all_)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(s & sets[j])
+            if both >= lines.THRESHOLD * (len(s) + len(sets[j]) - both) - 1e-12:
+                n_links += 1
+                root[find(i)] = find(j)
+    for i in range(len(all_)):
+        want[find(i)].add(i)
+    for block in (1024, 16):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lines, "BLOCK", block)
+            links = lines._links(entries, texts).cache()
+            got = collections.defaultdict(set)
+            for r in components.components(links).collect():
+                got[r["root"]].add(r["node"])
+            assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+            assert links.count() < 3 * len(all_) < n_links / 10
+
+
+def test_sketches_never_part_near_lines(spark):
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(300))
+    all_ = [base[:i] + "x" * (i % 17) + base[i:] for i in range(0, 300, 5)] + ["".join(rng.choice("abc ") for _ in range(n)) for n in (1, 5, 40, 400)]
+    rows = lines.sketches(spark.createDataFrame(list(enumerate(all_)), "k long, line string")).collect()
+    words = {r["k"]: [r[f"s{w}"] for w in range(lines.WORDS)] for r in rows}
+    sets = [shingles(x) for x in all_]
+    assert {r["k"]: r["n"] for r in rows} == {i: len(s) for i, s in enumerate(sets)}
+    for i, s in enumerate(sets):
+        for j in range(i):
+            flips = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(words[i], words[j]))
+            assert flips <= len(s ^ sets[j])
+
+
 @pytest.mark.parametrize("size", [10, 20, 40])
 def test_line_bands_reach_the_recall(spark, size):
     """Pairs of sets of 31-bit numbers at a similarity of 0.8, through the operator's permutations."""
