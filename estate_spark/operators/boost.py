@@ -1,52 +1,74 @@
-"""Gradient boosting that held rows stop: a Spark ML regression tree a round, for the squared
-and for the pinball loss.
-
-The score of every row lies in a table that is written anew after each block of rounds, so a
-round reads at most ``BLOCK`` trees on top of it and a lost executor repeats one block at
-most. A round fits a tree to the loss's gradient. For the squared loss the tree's own leaf
-means are the step; for the pinball loss the leaves of a tree of signs say little, so each
-leaf's step is the exact quantile of its residuals. The held rows' loss is measured for every
-round; after ``patience`` rounds without a smaller one boosting ends, and the trees up to the
-best round stay (one at least). What the driver holds follows from rounds, depth and leaves.
+"""Gradient boosting that held rows stop, for the squared and for the pinball loss.
+
+Features are cut into bins once; rows then lie as bin numbers and as what each model still misses
+(``treegrow``), one part a core or a million rows. A round of all models together is a job a level of
+the trees, where tasks count rows and gradients a bin, and one for the steps: for the squared loss the
+leaf means, which the counts hold; for the pinball loss the exact quantile of each leaf's residuals, read
+from the few values around its place that each task sends, and asked again where those don't reach. What
+is missed lies in Spark's cache after each round and in a written table after each block of rounds, so a
+lost executor repeats one block at most. The held rows' loss is measured for every round; after
+``patience`` rounds without a smaller one a model ends, and the trees up to the best round stay (one at
+least). What the driver holds follows from rounds, depth, bins and leaves.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import pickle
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from functools import partial, reduce
 
+import numpy as np
+from pyspark import RDD, StorageLevel, cloudpickle
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from estate_spark.functions import treegrow
 from estate_spark.operators import ranks
-from estate_spark.session import written
+from estate_spark.session import scratch_path, written
+
+cloudpickle.register_pickle_by_value(treegrow)      # executors need no copy of this package
 
 LIMIT, PATIENCE = 2000, 50       # fixed values
-BLOCK = 10                       # rounds between two written score tables
+BLOCK = 10                       # rounds between two written tables
 RATE, DEPTH, LEAST_ROWS = 0.1, 6, 20
 UNHELD_ROUNDS = 100              # without held rows nothing stops the rounds
-SCORE, HELD, LEAF = "_score", "_held", "_leaf"
+PART_ROWS, FEW_ROWS = 1_000_000, 25_000     # most rows of a part; fewer of them cost less than one more task
+WIDTH = 6.0                      # of the first windows around a quantile, in standard deviations of its place
+FEW_PARTS = 32                   # answers that the driver adds up itself
+HELD, LEAF = "_held", "_leaf"
+CHUNKS = "part long, rows long, fit long, codes binary, miss binary"
+NODES = ("treeID int, nodeData struct<id: int, prediction: double, impurity: double, impurityStats: array<double>, rawCount: bigint, gain: double, "
+         "leftChild: int, rightChild: int, split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>>")
 
 
 @dataclass
 class Boosted:
     trees: GBTRegressionModel            # the kept trees behind a constant one, weights included
     base: float
-    steps: list[list[float]] | None      # tree -> leaf -> step, where it isn't the tree's own
+    steps: list[list[float]] | None      # tree -> leaf -> step of a quantile; the trees hold them too
     rate: float
     best: int                            # round of the smallest held loss
     curve: list[float]                   # held loss after 0, 1, ... rounds
 
     def apply(self, df: DataFrame, out: str) -> DataFrame:
         """``df`` with the prediction as column ``out``."""
-        if self.steps is None:
-            return self.trees.setPredictionCol(out).setLeafCol("").transform(df)
-        return predict_steps(df, self.trees, self.base, self.steps, self.rate, out)
+        return predict(df, self.trees, out)
+
+
+def predict(df: DataFrame, trees: GBTRegressionModel, out: str) -> DataFrame:
+    """The sum of the weighted trees, a constant one first."""
+    return trees.setPredictionCol(out).setLeafCol("").transform(df)
 
 
 def predict_steps(df: DataFrame, trees: GBTRegressionModel, base: float, steps: list[list[float]], rate: float, out: str) -> DataFrame:
-    """base + rate * the sum of the steps of the leaves that a row falls into."""
+    """base + rate * the sum of the steps of the leaves that a row falls into: for stored models whose
+    trees don't hold the steps."""
     leaves = trees.setPredictionCol("_unused").setLeafCol(LEAF).transform(df)
     one = df.sparkSession.createDataFrame([(steps,)], "steps array<array<double>>").scalar()
     # the first leaf is that of the constant tree
@@ -61,21 +83,6 @@ def loss(label: Column, score: Column, alpha: float | None) -> Column:
     return miss * miss if alpha is None else F.greatest(F.lit(alpha) * miss, F.lit(alpha - 1.0) * miss)
 
 
-def _gradient(label: Column, score: Column, alpha: float | None) -> Column:
-    return label - score if alpha is None else F.when(label > score, F.lit(alpha)).otherwise(F.lit(alpha - 1.0))
-
-
-def _ensemble(trees: list, weights: list[float], vector: str) -> GBTRegressionModel:
-    """One model of single trees, as a boosted model of Spark ML."""
-    from pyspark import SparkContext
-    sc = SparkContext._active_spark_context
-    gateway, kind = sc._gateway, sc._jvm.org.apache.spark.ml.regression
-    array, numbers = gateway.new_array(kind.DecisionTreeRegressionModel, len(trees)), gateway.new_array(sc._jvm.double, len(trees))
-    for i, (t, w) in enumerate(zip(trees, weights)):
-        array[i], numbers[i] = t._java_obj, w
-    return GBTRegressionModel(kind.GBTRegressionModel(f"boosted_{trees[0].uid}", array, numbers, trees[0].numFeatures)).setFeaturesCol(vector)
-
-
 def rounds_left(curve: list[float], patience: int) -> int | None:
     """None while boosting goes on; the best round once ``patience`` rounds brought nothing."""
     best = 0
@@ -87,52 +94,200 @@ def rounds_left(curve: list[float], patience: int) -> int | None:
     return None
 
 
-def boost(rows: DataFrame, label: str, vector: str, held: Column, alpha: float | None = None, max_bins: int = 32, rate: float = RATE,
-          depth: int = DEPTH, least_rows: int = LEAST_ROWS, limit: int = LIMIT, patience: int = PATIENCE, seed: int = 42) -> Boosted:
-    """Boosted trees for the mean (``alpha`` None) or a quantile of ``label``, fitted on rows
-    that aren't ``held``. Rows without a label or on neither side are not read."""
-    y, score = F.col(label), F.col(SCORE)
-    table = rows.select(y.cast("double").alias(label), vector, F.coalesce(held, F.lit(False)).alias(HELD)).filter(y.isNotNull())
-    fitted = table.filter(~F.col(HELD))
-    small = ranks.is_small(fitted)
-    first = fitted.agg(F.avg(label).alias("v")) if alpha is None else ranks.quantile_rows(fitted, [label], [alpha], small=small).toDF("s", "n", "v")
-    base = float((first.first() or {"v": None})["v"] or 0.0)
-    table = written(table.withColumn(SCORE, F.lit(base)), "boost-scores")
-    stump = DecisionTreeRegressor(featuresCol=vector, labelCol=label, maxDepth=0, maxBins=max_bins).fit(table.filter(~F.col(HELD)))
-    start = table.filter(HELD).agg(F.avg(loss(y, score, alpha)).alias("v")).first()["v"]
-    limit = limit if start is not None else min(limit, UNHELD_ROUNDS)
-    trees, steps, curve = [], [], [start]
-    best, over = None, False
-    while best is None and not over and len(trees) < limit:
-        now, after = table, []
-        for _ in range(min(BLOCK, limit - len(trees))):
-            train = now.filter(~F.col(HELD)).withColumn("_gradient", _gradient(y, score, alpha))
-            tree = DecisionTreeRegressor(featuresCol=vector, labelCol="_gradient", predictionCol="_step", leafCol=LEAF, maxDepth=depth,
-                                         minInstancesPerNode=least_rows, maxBins=max_bins, seed=seed + len(trees)).fit(train)
-            if tree.numNodes == 1 and trees:
-                over = True                                    # no split lowers the loss any more
-                break
-            moved = tree.transform(now)
-            if alpha is not None:
-                residual = moved.filter(~F.col(HELD)).select(F.col(LEAF).cast("int").alias(LEAF), (y - score).alias("_residual"))
-                found = ranks.quantile_rows(residual, ["_residual"], [alpha], [LEAF], small=small).toDF(LEAF, "s", "n", "v").collect()
-                own = [0.0] * ((tree.numNodes + 1) // 2)
-                for r in found:                                # a row a leaf
-                    own[r[LEAF]] = float(r["v"])
-                steps.append(own)
-                moved = moved.withColumn("_step", F.get(F.lit(own), F.col(LEAF).cast("int")))
-            trees.append(tree)
-            after.append(f"_after{len(trees)}")
-            now = moved.withColumn(SCORE, score + F.lit(rate) * F.col("_step")).withColumn(after[-1], F.col(SCORE)).drop(LEAF, "_step")
-        if after and start is not None:
-            seen = now.filter(HELD).agg(*[F.avg(loss(y, F.col(c), alpha)).alias(c) for c in after]).first()
-            curve += [seen[c] for c in after]
-            best = rounds_left(curve, patience)
-        if after:
-            table = written(now.drop(*after), "boost-scores")
-    if best is None:
-        best = min(range(len(curve)), key=curve.__getitem__) if start is not None else len(trees)
-    best = max(best, 1)
-    kept = trees[:best]
-    model = _ensemble([stump, *kept], [1.0, *[rate] * len(kept)], vector)
-    return Boosted(model, base, steps[:best] if alpha is not None else None, rate, best, [c for c in curve if c is not None])
+@dataclass
+class _Model:
+    alpha: float | None
+    base: float
+    curve: list[float] = field(default_factory=list)
+    trees: list[list[tuple]] = field(default_factory=list)      # nodes as Spark ML saves them
+    steps: list[list[float]] = field(default_factory=list)
+    best: int | None = None
+    on: bool = True
+
+
+def together(*builds):
+    """Results of independent fits, run side by side: their many small jobs fill the cluster."""
+    with ThreadPoolExecutor(len(builds)) as pool:
+        return [f.result() for f in [pool.submit(b) for b in builds]]
+
+
+def _layout(table: DataFrame, features: int, nominal: dict[int, int], max_bins: int) -> treegrow.Layout:
+    """The bins of all features: thresholds from all fitted rows' values, a bin a level of a category."""
+    numeric = [f for f in range(features) if f not in nominal]
+    points = max(2048, 4 * max_bins)
+    cuts: list = [None] * features
+    if numeric:
+        found = table.filter(~F.col(HELD)).select("_x").mapInArrow(
+            partial(treegrow.summaries, features=features, numeric=numeric, points=points), "found binary")
+
+        def together(rows):
+            parts = [pickle.loads(r[0]) for r in rows]
+            return [treegrow.merged(parts, points=max(points, treegrow.POINTS))] if parts else []
+
+        parts = found.rdd.repartition(8).mapPartitions(together).collect()
+        for f, (values, weights) in zip(numeric, treegrow.merged(parts)):
+            cuts[f] = treegrow.cuts_of(values, weights, max_bins)
+    return treegrow.Layout(cuts, [nominal[f] if f in nominal else len(cuts[f]) + 1 for f in range(features)])
+
+
+def _ask(chunks: RDD, run, add, **asked):
+    """The tasks' answers added up: by the driver, or in a tree of tasks where they are many."""
+    found = chunks.mapPartitions(partial(treegrow.answer, run=run, **asked))
+    return reduce(add, found.collect()) if found.getNumPartitions() <= FEW_PARTS else found.treeReduce(add)
+
+
+def _grown(chunks: RDD, layout: treegrow.Layout, models: list[tuple[int, _Model]], first: list, depth: int, least_rows: int) -> list[treegrow.Grown]:
+    """A tree a model (its row of ``miss``, itself), level by level, from the root's counts."""
+    trees, counts = [treegrow.Grown(layout) for _ in models], dict(enumerate(first))
+    for _ in range(depth):
+        for i, c in counts.items():
+            trees[i].grow(*c, least_rows)
+        going = [i for i in counts if trees[i].edge]
+        if not going or trees[going[0]].depth == depth:
+            break
+        asked = [(models[i][0], models[i][1].alpha, trees[i].walk(), *trees[i].slots()) for i in going]
+        counts = dict(zip(going, _ask(chunks, treegrow.count_codes, treegrow.summed, layout=layout, asked=asked)))
+    return trees
+
+
+def _quantile_steps(chunks: RDD, models: list[tuple[int, _Model]], trees: list[treegrow.Grown]) -> list[list[float]]:
+    """Per model the quantile of the residuals in each of its tree's leaves, exact."""
+    leaves = [t.leaves() for t in trees]
+    steps: list[dict[int, float]] = [{} for _ in trees]
+    width = WIDTH
+    while any(len(s) < len(own) for s, own in zip(steps, leaves)):
+        open_ = [i for i, own in enumerate(leaves) if len(steps[i]) < len(own)]
+        asked = []
+        for i in open_:
+            number = np.full(len(trees[i].nodes), -1, dtype=np.intp)
+            number[leaves[i]] = np.arange(len(leaves[i]))
+            asked.append((models[i][0], models[i][1].alpha, trees[i].walk(), number, len(leaves[i]),
+                          [k for k in range(len(leaves[i])) if k not in steps[i]], width))
+        for i, found in zip(open_, _ask(chunks, treegrow.windows, treegrow.joined, asked=asked)):
+            parts: dict[int, list] = {}
+            for f in found:
+                parts.setdefault(f[0], []).append(f)
+            for k, own in parts.items():
+                value = treegrow.quantile_of(own, models[i][1].alpha)
+                if value is not None:
+                    steps[i][k] = value
+        width *= 8
+    return [[s[k] for k in range(len(s))] for s in steps]
+
+
+def _ensembles(spark: SparkSession, models: list[_Model], rate: float, vector: str, features: int) -> list[GBTRegressionModel]:
+    """The kept trees behind a constant one as models of Spark ML: the files of a constant model, with
+    its trees' nodes, are read back."""
+    from pyspark import SparkContext
+    stump = DecisionTreeRegressor(featuresCol="x", labelCol="y", maxDepth=0).fit(spark.createDataFrame([(Vectors.sparse(features, [], []), 0.0)], ["x", "y"]))
+    sc = SparkContext._active_spark_context
+    kind = sc._jvm.org.apache.spark.ml.regression
+    array, numbers = sc._gateway.new_array(kind.DecisionTreeRegressionModel, 1), sc._gateway.new_array(sc._jvm.double, 1)
+    array[0], numbers[0] = stump._java_obj, 1.0
+    path = scratch_path(spark, "constant")
+    GBTRegressionModel(kind.GBTRegressionModel("boosted", array, numbers, features)).write().save(path)
+    about = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
+    tree = json.loads(spark.read.parquet(f"{path}/treesMetadata").first()[1])
+
+    def build(m: _Model) -> GBTRegressionModel:
+        path, trees = scratch_path(spark, "boosted"), m.trees[:m.best]
+        constant = (0, m.base, -1.0, [0.0, 0.0, 0.0], sum(r[4] for r in trees[0] if r[6] < 0), -1.0, -1, -1, (-1, [], -1))
+        own = about | {"uid": f"boosted_{uuid.uuid4().hex[:12]}", "numTrees": len(trees) + 1, "paramMap": {"featuresCol": vector}}
+        spark.createDataFrame([(json.dumps(own),)], "value string").coalesce(1).write.text(f"{path}/metadata")
+        spark.createDataFrame([(i, json.dumps(tree | {"uid": f"tree_{uuid.uuid4().hex[:12]}", "paramMap": {"featuresCol": vector}}), rate if i else 1.0)
+                               for i in range(len(trees) + 1)], "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
+        spark.createDataFrame([(i, r) for i, rows in enumerate([[constant], *trees]) for r in rows], NODES).coalesce(1).write.parquet(f"{path}/data")
+        return GBTRegressionModel.load(path)
+
+    return together(*[partial(build, m) for m in models])
+
+
+def _train(stored: DataFrame, parts: int, layout: treegrow.Layout, models: list[_Model], held: int, rate: float, depth: int, least_rows: int,
+           limit: int, patience: int) -> None:
+    """The rounds of ``models``, until each has ended."""
+    def read(stored: DataFrame, bases: list[float] | None = None) -> RDD:
+        return stored.rdd.map(treegrow.keyed).partitionBy(parts, int).values().map(partial(treegrow.unpacked, kind=layout.dtype, bases=bases))
+
+    spark, chunks = stored.sparkSession, read(stored, [m.base for m in models]).persist(StorageLevel.MEMORY_AND_DISK)
+    lies = list(range(len(models)))                            # the models of ``miss``
+    root = (0, np.zeros(1, dtype=np.intp), np.zeros((1, 1), dtype=np.uint8)), np.zeros(1, dtype=np.intp), 1
+    before, done, whole = None, 0, None                        # whole: all rows by bin, the same in every round
+    while True:
+        on = [(lies.index(i), m) for i, m in enumerate(models) if m.on and (held or len(m.trees) < limit)]
+        if not on:
+            break
+        growing = [(k, m) for k, m in on if len(m.trees) < limit]
+        losses, first = _ask(chunks, treegrow.first_counts, treegrow.summed, layout=layout, asked=[(k, m.alpha, *root, whole is not None) for k, m in growing],
+                             held=[(k, m.alpha) for k, m in on] if held else [])
+        if first:
+            whole = first[0][0] if whole is None else whole
+            first = [(whole, *c[1:]) for c in first]
+        if before is not None:
+            before.unpersist()
+        for (_, m), value in zip(on, losses):
+            m.curve.append(value / held)
+            m.best = rounds_left(m.curve, patience)
+            m.on = m.best is None and len(m.trees) < limit
+        left = [i for i, (_, m) in enumerate(growing) if m.on]
+        growing, first = [growing[i] for i in left], [first[i] for i in left]
+        trees = _grown(chunks, layout, growing, first, depth, least_rows) if growing else []
+        for (_, m), t in zip(growing, trees):
+            m.on = len(t.nodes) > 1 or not m.trees             # else no split lowers the loss any more
+        pairs = [(k, m, t) for (k, m), t in zip(growing, trees) if m.on]
+        if not pairs:
+            continue
+        asked = [(k, m, t) for k, m, t in pairs if m.alpha is not None]
+        exact = iter(_quantile_steps(chunks, [(k, m) for k, m, _ in asked], [t for *_, t in asked]))
+        moves, keep = [], []
+        for k, m, t in pairs:
+            leaves = t.leaves()
+            steps = [t.nodes[i]["s"] / t.nodes[i]["n"] for i in leaves] if m.alpha is None else next(exact)
+            own = dict(zip(leaves, steps))
+            m.trees.append(t.rows(own))
+            m.steps.append(steps)
+            moves.append((len(keep), t.walk(), rate * np.array([own.get(i, 0.0) for i in range(len(t.nodes))])))
+            keep.append(k)
+        before, done = chunks, done + 1
+        chunks = chunks.map(partial(treegrow.moved, moves=moves, keep=keep))
+        lies = [lies[k] for k in keep]
+        if done % BLOCK == 0:
+            chunks = read(written(spark.createDataFrame(chunks.map(treegrow.packed), CHUNKS, verifySchema=False), "boost-rows"))
+        chunks = chunks.persist(StorageLevel.MEMORY_AND_DISK)
+    chunks.unpersist()
+
+
+def boost(rows: DataFrame, label: str, vector: str, held: Column, alpha: float | None = None, **params) -> Boosted:
+    """Boosted trees for the mean (``alpha`` None) or a quantile of ``label``, see ``boost_all``."""
+    return boost_all(rows, label, vector, held, [alpha], **params)[0]
+
+
+def boost_all(rows: DataFrame, label: str, vector: str, held: Column, alphas: list[float | None], max_bins: int = 32, rate: float = RATE,
+              depth: int = DEPTH, least_rows: int = LEAST_ROWS, limit: int = LIMIT, patience: int = PATIENCE) -> list[Boosted]:
+    """A model an entry of ``alphas``, fitted on rows that aren't ``held``. Rows without a label or
+    on neither side are not read."""
+    spark, y = rows.sparkSession, F.col(label)
+    attrs = rows.schema[vector].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
+    nominal = {a["idx"]: len(a["vals"]) if "vals" in a else a["num_vals"] for a in attrs}
+    wide = [a.get("name", a["idx"]) for a in attrs if nominal[a["idx"]] > max_bins]
+    if wide:
+        raise ValueError(f"more levels than {max_bins} bins: {wide}")
+    table = rows.select(vector_to_array(F.col(vector)).alias("_x"), y.cast("double").alias(label), F.coalesce(held, F.lit(False)).alias(HELD)).filter(y.isNotNull())
+    size = table.agg(F.count_if(~F.col(HELD)).alias("fit"), F.count_if(HELD).alias("held"), F.avg(F.when(~F.col(HELD), y)).alias("mean"), F.max(F.size("_x")).alias("features")).first()
+    if not size["fit"]:
+        raise ValueError("no rows to fit")
+    qs = sorted({a for a in alphas if a is not None})
+    found = ranks.quantile_rows(table.filter(~F.col(HELD)), [label], qs, small=size["fit"] <= ranks.SMALL_ROWS).first() if qs else None
+    models = [_Model(a, float(size["mean"] if a is None else found[2 + qs.index(a)])) for a in alphas]
+    layout = _layout(table, size["features"], nominal, max_bins)
+    total = size["fit"] + size["held"]
+    parts = max(-(-total // PART_ROWS), min(spark.sparkContext.defaultParallelism, -(-total // FEW_ROWS)))
+    stored = written(table.repartition(parts).mapInArrow(partial(treegrow.encoded, features=size["features"], layout=layout), CHUNKS), "boost-rows")
+
+    limit = limit if size["held"] else min(limit, UNHELD_ROUNDS)
+    _train(stored, parts, layout, models, size["held"], rate, depth, least_rows, limit, patience)
+    for m in models:
+        if m.best is None:
+            m.best = min(range(len(m.curve)), key=m.curve.__getitem__) if m.curve else len(m.trees)
+        m.best = max(m.best, 1)
+    return [Boosted(trees, m.base, m.steps[:m.best] if m.alpha is not None else None, rate, m.best, m.curve)
+            for m, trees in zip(models, _ensembles(spark, models, rate, vector, size["features"]))]

@@ -4,7 +4,6 @@ rival, a probe head, and the bundle that scores batches."""
 from __future__ import annotations
 
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -19,7 +18,6 @@ from estate_spark import contract as C
 from estate_spark.operators import boost, evaluate, features, sampling
 from estate_spark.session import grown, scratch_path, written
 
-SEED = 42
 VECTOR = "features"
 
 
@@ -28,9 +26,9 @@ class Bundle:
     prep: features.Prep
     names: list[str]                 # vector slots, in order
     point: object
-    low: object                      # trees of the lower quantile, see boost.predict_steps
+    low: object                      # trees of the lower quantile
     high: object
-    quantiles: dict                  # base, steps and rate of low and high
+    quantiles: dict                  # base and rate of low and high, and steps where the trees don't hold them
     calibration_q: float = 0.0
     test_coverage: float = 0.0
     test_metrics: dict = field(default_factory=dict)
@@ -66,25 +64,24 @@ def _bins(prep: features.Prep) -> int:
     return max([32, *[len(v) + 2 for v in prep.levels.values()]])
 
 
-def train_point(assembled: DataFrame, prep: features.Prep, alpha: float | None = None, **params) -> boost.Boosted:
-    """Boosted trees for the price or its quantile ``alpha``, fitted on the rows of split
+def train_points(assembled: DataFrame, prep: features.Prep, alphas: list[float | None], **params) -> list[boost.Boosted]:
+    """Boosted trees for the price (None) or its quantiles, fitted side by side on the rows of split
     ``train`` and stopped by those of ``val``."""
     rows = assembled.filter(F.col("split").isin("train", "val"))
-    return boost.boost(rows, C.TARGET, VECTOR, F.col("split") == "val", alpha, _bins(prep), **{"seed": SEED, **params})
+    return boost.boost_all(rows, C.TARGET, VECTOR, F.col("split") == "val", alphas, max_bins=_bins(prep), **params)
 
 
-def together(*builds):
-    """Results of independent fits, run side by side: their many small jobs fill the cluster."""
-    with ThreadPoolExecutor(len(builds)) as pool:
-        return [f.result() for f in [pool.submit(b) for b in builds]]
+def train_point(assembled: DataFrame, prep: features.Prep, alpha: float | None = None, **params) -> boost.Boosted:
+    return train_points(assembled, prep, [alpha], **params)[0]
 
 
 def predict_raw(assembled: DataFrame, bundle: Bundle) -> DataFrame:
     """estimate, q05, q95."""
     x = bundle.point.transform(assembled)
     for side, out in (("low", "q05"), ("high", "q95")):
-        q = bundle.quantiles[side]
-        x = boost.predict_steps(x, getattr(bundle, side), q["base"], q["steps"], q["rate"], out)
+        trees, q = getattr(bundle, side), bundle.quantiles[side]
+        # bundles stored earlier hold the steps beside the trees
+        x = boost.predict(x, trees, out) if q["steps"] is None else boost.predict_steps(x, trees, q["base"], q["steps"], q["rate"], out)
     return x
 
 
@@ -109,10 +106,10 @@ def train_bundle(listings: DataFrame, split: DataFrame, **params) -> Bundle:
     prep = features.fit(train)
     x = assemble(rows, prep).select("asset_id", C.TARGET, "split", VECTOR).persist()
     try:
-        point, low, high = together(*[lambda a=a: train_point(x, prep, a, **params) for a in (None, evaluate.ALPHA_LOW, evaluate.ALPHA_HIGH)])
+        point, low, high = train_points(x, prep, [None, evaluate.ALPHA_LOW, evaluate.ALPHA_HIGH], **params)
         parts = {"point": point, "low": low, "high": high}
         b = Bundle(prep, vector_names(prep), point.trees.setPredictionCol("estimate"), low.trees, high.trees,
-                   {k: {"base": parts[k].base, "steps": parts[k].steps, "rate": parts[k].rate} for k in ("low", "high")},
+                   {k: {"base": parts[k].base, "steps": None, "rate": parts[k].rate} for k in ("low", "high")},
                    rounds={k: {"best": v.best, "run": len(v.curve) - 1, "losses": v.curve} for k, v in parts.items()})
         raw = predict_raw(x, b)
         b.calibration_q = float(evaluate.cqr_calibrate(
@@ -203,7 +200,7 @@ def ablate(rows: DataFrame, score_col: str, **params) -> DataFrame:
         x = assemble(fit_rows, prep)
         return train_point(x, prep, **params), x
 
-    for name, (model, x) in zip(("without", "with"), together(lambda: fit([]), lambda: fit([score_col]))):
+    for name, (model, x) in zip(("without", "with"), boost.together(lambda: fit([]), lambda: fit([score_col]))):
         m = evaluate.metrics(model.apply(x.filter("split = 'test'"), "estimate"), C.TARGET, "estimate").withColumn(
             "variant", F.lit(name))
         result = m if result is None else result.unionByName(m)
