@@ -147,10 +147,12 @@ def count_codes(chunks, layout: Layout, asked: list) -> list:
             else:
                 g = BOTH + (g > 0)
             bases = {} if here is None else {w: here * w for w in set(wide)}
+            place = np.empty(len(g), dtype=np.intp)
             for c, w in enumerate(wide):
                 at = codes[c, :fit]
                 if here is not None:
-                    at = bases[w] + at.take(some)
+                    place[:] = at.take(some, mode="clip")
+                    at = np.add(place, bases[w], out=place)
                 if alpha is None and not known:
                     rows[c] += np.bincount(at, minlength=slots * w)
                 sums[c] += np.bincount(at, weights=g, minlength=slots * w)
