@@ -438,3 +438,61 @@ class Grown:
             else:
                 out.append((k, steps[i], *own, -1.0, -1, -1, (-1, [], -1)))
         return out
+
+
+class Forest:
+    """The trees of stored ensembles, for many rows at once: a row is encoded once by the thresholds
+    that the trees have, and walks through tables of codes."""
+
+    def __init__(self, features: int, nodes: list[dict], weights: list[list[float]]):
+        """Per ensemble its nodes' columns, ordered by tree and number, and its trees' weights."""
+        cuts: list[list] = [[] for _ in range(features)]
+        levels = [0] * features
+        for own in nodes:
+            for f, values, kinds in zip(own["feature"], own["values"], own["kinds"]):
+                if f >= 0 and kinds >= 0:
+                    levels[f] = kinds
+                elif f >= 0:
+                    cuts[f].append(values[0])
+        self.layout = Layout([None if levels[f] else np.unique(cuts[f]) for f in range(features)],
+                             [levels[f] or len(np.unique(cuts[f])) + 1 for f in range(features)])
+        self.ensembles = [self._trees(own, w) for own, w in zip(nodes, weights)]
+
+    def _trees(self, own: dict, weights: list[float]) -> list[tuple]:
+        out, starts = [], np.flatnonzero(np.asarray(own["id"]) == 0).tolist()
+        for a, b, weight in zip(starts, [*starts[1:], len(own["id"])], weights):
+            left, right, feature = (np.array(own[k][a:b], dtype=np.intp) for k in ("left", "right", "feature"))
+            leaf, rank, masks, depth = left < 0, np.zeros(b - a), [], np.zeros(b - a, dtype=int)
+            for i in np.flatnonzero(~leaf):
+                depth[left[i]] = depth[right[i]] = depth[i] + 1
+                cuts, values = self.layout.cuts[feature[i]], own["values"][a + i]
+                if cuts is None:
+                    mask = np.zeros(self.layout.sizes[feature[i]], dtype=bool)
+                    mask[np.array(values, dtype=int)] = True
+                    masks.append((int(i), mask))
+                else:
+                    rank[i] = np.searchsorted(cuts, values[0])
+            itself = np.arange(b - a)
+            out.append((int(depth.max()), np.where(leaf, 0, feature).astype(np.int32), rank.astype(np.int32), masks, np.where(leaf, itself, left).astype(np.int32),
+                        np.where(leaf, itself, right).astype(np.int32), weight * np.array(own["prediction"][a:b])))
+        return out
+
+    def predictions(self, x: np.ndarray) -> list[np.ndarray]:
+        """Per ensemble the sum of its weighted trees, of rows x features."""
+        layout = self.layout
+        codes, width = layout.encode(x), max(layout.widths)
+        digits = np.zeros((len(layout.sizes), width), dtype=np.int32)
+        for f, c in enumerate(layout.column):
+            if c >= 0:
+                digits[f, :layout.widths[c]] = layout.digits(f)
+        column, out = np.maximum(layout.column, 0), []
+        for trees in self.ensembles:
+            total = np.zeros(len(x))
+            for levels, feature, rank, masks, left, right, value in trees:
+                goes = digits[feature] <= rank[:, None]
+                for i, mask in masks:
+                    goes[i] = mask[digits[feature[i]]]
+                following = np.where(goes, left[:, None], right[:, None])
+                total += value.take(route(codes, (levels, column[feature], following)))
+            out.append(total)
+        return out

@@ -16,11 +16,13 @@ from __future__ import annotations
 import json
 import pickle
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import partial, reduce
 
 import numpy as np
+import pandas as pd
 from pyspark import RDD, StorageLevel, cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -58,12 +60,38 @@ class Boosted:
 
     def apply(self, df: DataFrame, out: str) -> DataFrame:
         """``df`` with the prediction as column ``out``."""
-        return predict(df, self.trees, out)
-
-
-def predict(df: DataFrame, trees: GBTRegressionModel, out: str) -> DataFrame:
-    """The sum of the weighted trees, a constant one first."""
-    return trees.setPredictionCol(out).setLeafCol("").transform(df)
+        return predict(df, **{out: self.trees})
+
+
+def _nodes(spark: SparkSession, model: GBTRegressionModel) -> dict:
+    """Columns of the nodes of the model's trees, read from its own saved tables: their size is set by the
+    training parameters, not by the data."""
+    path = scratch_path(spark, "model")
+    model.write().save(path)
+    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select(
+        F.col("treeID").alias("tree"), "id", "prediction", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.col("split.featureIndex").alias("feature"),
+        F.col("split.leftCategoriesOrThreshold").alias("values"), F.col("split.numCategories").alias("kinds"))
+    return rows.toArrow().sort_by([("tree", "ascending"), ("id", "ascending")]).to_pydict()
+
+
+def predict(df: DataFrame, **models: GBTRegressionModel) -> DataFrame:
+    """``df`` with the sum of each model's weighted trees as a column of the name given. One narrow pass:
+    Arrow batches go through the trees in NumPy, whose size follows from the training parameters."""
+    spark, named = df.sparkSession, list(models.items())
+    features, vector = named[0][1].numFeatures, named[0][1].getFeaturesCol()
+    nodes = together(*[partial(_nodes, spark, m) for _, m in named])
+    # pickled by value: a broadcast object would need this package on executors
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(treegrow.Forest(features, nodes, [list(m.treeWeights) for _, m in named])))
+    names = [out for out, _ in named]
+
+    @F.pandas_udf(", ".join(f"{out} double" for out in names))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forest = pickle.loads(shared.value)
+        for b in batches:
+            x = np.stack(b.to_numpy()) if len(b) else np.zeros((0, features))
+            yield pd.DataFrame(dict(zip(names, forest.predictions(x))))
+
+    return df.withColumn("_scores", run(vector_to_array(F.col(vector)))).select(*df.columns, "_scores.*")
 
 
 def predict_steps(df: DataFrame, trees: GBTRegressionModel, base: float, steps: list[list[float]], rate: float, out: str) -> DataFrame:

@@ -15,7 +15,7 @@ from estate_spark import contract as C
 from estate_spark.functions import treeshap
 from estate_spark.functions.labels import describe
 from estate_spark.functions.text import format_eur
-from estate_spark.operators import features, models
+from estate_spark.operators import boost, features, models
 from estate_spark.session import grown, scratch_path
 
 # the one function that runs in Python workers travels with the job, so executors need no
@@ -64,8 +64,8 @@ def shap_rows(df: DataFrame, bundle: models.Bundle, key: str = "asset_id") -> Da
         if sum(map(len, held)):
             yield answered(held)
 
-    x = bundle.point.transform(models.assemble(df, bundle.prep)).select(
-        key, F.col("estimate").alias("prediction"), vector_to_array(F.col(models.VECTOR)).alias("x"))
+    x = boost.predict(models.assemble(df, bundle.prep), prediction=bundle.point).select(
+        key, "prediction", vector_to_array(F.col(models.VECTOR)).alias("x"))
     out = x.mapInPandas(run, f"{key} string, prediction double, phi array<double>")
     slot = {n: F.col("phi")[i] for i, n in enumerate(names)}
     # the missing-year indicator is part of the year's effect

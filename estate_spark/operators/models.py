@@ -77,11 +77,13 @@ def train_point(assembled: DataFrame, prep: features.Prep, alpha: float | None =
 
 def predict_raw(assembled: DataFrame, bundle: Bundle) -> DataFrame:
     """estimate, q05, q95."""
-    x = bundle.point.transform(assembled)
-    for side, out in (("low", "q05"), ("high", "q95")):
-        trees, q = getattr(bundle, side), bundle.quantiles[side]
-        # bundles stored earlier hold the steps beside the trees
-        x = boost.predict(x, trees, out) if q["steps"] is None else boost.predict_steps(x, trees, q["base"], q["steps"], q["rate"], out)
+    sides = {"q05": "low", "q95": "high"}
+    # bundles stored earlier hold the steps beside the trees
+    beside = {out: side for out, side in sides.items() if bundle.quantiles[side]["steps"] is not None}
+    x = boost.predict(assembled, estimate=bundle.point, **{out: getattr(bundle, side) for out, side in sides.items() if out not in beside})
+    for out, side in beside.items():
+        q = bundle.quantiles[side]
+        x = boost.predict_steps(x, getattr(bundle, side), q["base"], q["steps"], q["rate"], out)
     return x
 
 
@@ -111,7 +113,7 @@ def train_bundle(listings: DataFrame, split: DataFrame, **params) -> Bundle:
         b = Bundle(prep, vector_names(prep), point.trees.setPredictionCol("estimate"), low.trees, high.trees,
                    {k: {"base": parts[k].base, "steps": None, "rate": parts[k].rate} for k in ("low", "high")},
                    rounds={k: {"best": v.best, "run": len(v.curve) - 1, "losses": v.curve} for k, v in parts.items()})
-        raw = predict_raw(x, b)
+        raw = written(predict_raw(x.filter("split in ('val', 'test')"), b).drop(VECTOR), "raw-scores")
         b.calibration_q = float(evaluate.cqr_calibrate(
             raw.filter("split = 'val'"), C.TARGET, "q05", "q95").first()["calibration_q"])
         test = evaluate.apply_band(raw.filter("split = 'test'"), F.lit(b.calibration_q))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from estate_spark import contract as C
-from estate_spark.operators import curate, evaluate, explain, features, models, ranks, sampling
+from estate_spark.operators import boost, curate, evaluate, explain, features, models, ranks, sampling
 from estate_spark.functions import labels, text
 from estate_spark.plans.base_sql import on_listings, on_split
 from estate_spark.plans.registry import query
@@ -101,7 +101,7 @@ def bundle(spark, sf):
 def train_point(spark, sf):
     b = bundle(spark, sf)
     x = models.assemble(curate.curated(spark, sf).join(grown(split(spark, sf)), "asset_id"), b.prep)
-    return evaluate.metrics(b.point.transform(x), "price", "estimate", ["split"]).withColumn("best_round", F.lit(b.rounds["point"]["best"]))
+    return evaluate.metrics(boost.predict(x, estimate=b.point), "price", "estimate", ["split"]).withColumn("best_round", F.lit(b.rounds["point"]["best"]))
 
 
 @query("train_quantile")

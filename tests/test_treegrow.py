@@ -131,3 +131,16 @@ def test_empty_parts_and_no_rows(mixed):
         boost.boost(mixed.filter("held"), "y", "x", F.col("held"))
     one = boost.boost(mixed.limit(1).withColumn("held", F.lit(False)), "y", "x", F.col("held"), 0.5, limit=3)
     assert one.best == 1 and one.apply(mixed.limit(1), "p").first()["p"] == pytest.approx(one.base)
+
+
+def test_predictions_are_those_of_spark(mixed):
+    """Stored ensembles in Arrow batches against Spark's own walk: numbers, categories, levels unseen in training, one model or two."""
+    point, low = boost.boost_all(mixed, "y", "x", F.col("held"), [None, 0.2], depth=5, rate=0.3, limit=6)
+    edge = mixed.unionByName(mixed.limit(50).withColumn("e", F.lit(0.0)))
+    x = boost.predict(edge, point=point.trees, low=low.trees)
+    for out, b in (("point", point), ("low", low)):
+        x = b.trees.setPredictionCol(f"{out}_spark").setLeafCol("").transform(x)
+    worst = x.agg(*[F.max(F.abs(F.col(c) - F.col(f"{c}_spark"))) for c in ("point", "low")], F.count("*")).first()
+    assert worst[0] < 1e-9 and worst[1] < 1e-9 and worst[2] == 6050
+    steps = boost.predict_steps(mixed, low.trees, low.base, low.steps, low.rate, "beside")
+    assert boost.predict(steps, low=low.trees).agg(F.max(F.abs(F.col("low") - F.col("beside")))).first()[0] < 1e-9
